@@ -65,7 +65,7 @@ def sparse_rows(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """uint32 blobs, one a row, as CSR (indices, row starts)."""
     starts = np.zeros(len(blobs) + 1, np.int64)
     np.cumsum([len(b) // 4 for b in blobs], out=starts[1:])
-    return np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64), starts
+    return np.frombuffer(b"".join(blobs), np.int32), starts
 
 
 def row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
