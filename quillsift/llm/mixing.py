@@ -101,8 +101,8 @@ def mix(documents: DataFrame) -> DataFrame:
         folded = checkpointed(folded)
         results.append(folded.select(*told, F.explode("s.done").alias("d")).select("d.doc_id", "d.size", *told, "d.extra"))
         units = folded.select("source", *told, "n", "s.cur.doc_id", "s.cur.size", "s.cur.mass")
-    # At the last level a source is one block, and one residual is left of it.
-    last = F.pmod(F.xxhash64("doc_id", F.lit("last")), F.col("size") * SCALE) < F.col("mass")
+    # At the last level a source is one block; its one residual goes the way that is nearer to the target.
+    last = 2 * F.col("mass") >= F.col("size") * SCALE
     results.append(units.select("doc_id", "size", *told, last.cast("int").alias("extra")))
     out = results[0]
     for more in results[1:]:

@@ -11,6 +11,7 @@ from quillsift.llm.mixing import mix
 from quillsift.llm.packing import best_fit_pack
 from quillsift.llm.quality_classifier import quality
 from quillsift.llm.quality_rules import quality_rules
+from quillsift.llm.simhash import near_duplicates
 from quillsift.llm.toxicity import toxicity
 
 
@@ -22,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_simhash": op3_simhash,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op10_quality_classifier": op10_quality_classifier,
