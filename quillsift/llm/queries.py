@@ -13,6 +13,7 @@ from quillsift.llm.packing import best_fit_pack
 from quillsift.llm.quality_classifier import quality
 from quillsift.llm.quality_rules import quality_rules
 from quillsift.llm.simhash import near_duplicates
+from quillsift.llm.suffix_dedup import suffix_dedup
 from quillsift.llm.toxicity import toxicity
 
 
@@ -40,6 +41,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_impact_search": op4_impact_search,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
