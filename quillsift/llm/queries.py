@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillsift.llm.common import table
 from quillsift.llm.impact_search import top_k
+from quillsift.llm.lm_scoring import lm_scores
 from quillsift.llm.mixing import mix
 from quillsift.llm.packing import best_fit_pack
 from quillsift.llm.quality_classifier import quality
@@ -33,6 +34,10 @@ def op4_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_impact_search": op4_impact_search,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
