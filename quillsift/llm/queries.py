@@ -15,6 +15,7 @@ from quillsift.llm.quality_classifier import quality
 from quillsift.llm.quality_rules import quality_rules
 from quillsift.llm.simhash import near_duplicates
 from quillsift.llm.suffix_dedup import suffix_dedup
+from quillsift.llm.token_counts import token_counts
 from quillsift.llm.toxicity import toxicity
 
 
@@ -38,6 +39,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_impact_search": op4_impact_search,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,

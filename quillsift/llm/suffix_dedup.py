@@ -43,7 +43,7 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 #: Rows between groups and buckets. kind 0: contexts; 1: shared bits; 2: settled anchors; 3: wanted contexts; 4: settled strings.
 PART_SCHEMA = "g int, bucket int, kind int, a binary, b binary, c binary, d binary"
 DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-TEXT_SCHEMA = DIGEST_SCHEMA + ", kept binary, spans array<bigint>"
+TEXT_SCHEMA = DIGEST_SCHEMA + ", kept string, spans array<bigint>"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -347,10 +347,10 @@ def cut_out(texts: bool):
             edges = [a, *np.stack([x, y], 1).ravel().tolist(), b]
             kept = b"".join(group.data[edges[n] : edges[n + 1]] for n in range(0, len(edges), 2))
             row = (i, b - a, b - a - len(kept), len(x), hashlib.sha256(kept).hexdigest())
-            rows.append((*row, kept, [e - a for e in edges[1:-1]]) if texts else row)
+            rows.append((*row, kept.decode("utf-8", "ignore"), [e - a for e in edges[1:-1]]) if texts else row)
         for t in group.without_id:
             row = (None, len(t), 0, 0, hashlib.sha256(t).hexdigest())
-            rows.append((*row, t, []) if texts else row)
+            rows.append((*row, t.decode("utf-8", "ignore"), []) if texts else row)
         out = pd.DataFrame(rows, columns=names)
         out["doc_id"] = pd.array([None if pd.isna(i) else int(i) for i in (r[0] for r in rows)], "Int64")
         return out
@@ -359,9 +359,10 @@ def cut_out(texts: bool):
 
 
 def suffix_dedup(documents: DataFrame, texts: bool = False) -> DataFrame:
-    """n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``texts`` also the kept bytes and the removed spans.
+    """n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``texts`` also the kept text and the removed spans.
 
-    A null text counts as empty. A row without id is left whole, and removes nothing elsewhere. Rows of
+    Spans are byte offsets (begin, end, begin, ...). The kept text leaves out bytes of characters that were
+    cut through. A null text counts as empty. A row without id is left whole, and removes nothing elsewhere. Rows of
     one id do not remove each other's bytes, whether they repeat or clash. Texts under WIDTH bytes are
     left whole. An empty table gives an empty result. Further columns are ignored.
     """

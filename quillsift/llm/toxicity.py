@@ -188,6 +188,16 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(run, schema)
 
 
+def drop_toxic(documents: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of ``documents``, all columns, that score under 0.5."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[model.score(t) < 0.5 for t in frame["text"]]]
+
+    return documents.mapInPandas(run, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``documents``.
 
