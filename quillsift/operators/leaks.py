@@ -127,16 +127,18 @@ def normalised(texts: pd.Series) -> pd.Series:
     return texts.map(normalise, na_action="ignore")
 
 
-def plain_tokens(text: Column) -> Column:
-    """Tokens of a normalised text."""
-    return F.filter(F.split(text, " "), lambda x: x != "")
+def token_runs(longest: int):
+    """UDF: the distinct runs of 1 to ``longest`` normalised tokens of a text, joined by a space."""
 
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[str]:
+            tokens = [] if text is None else normalise(text).split()
+            return list(dict.fromkeys(" ".join(tokens[i : i + n]) for n in range(1, longest + 1) for i in range(len(tokens) - n + 1)))
 
-def runs(tokens: Column, longest: int) -> Column:
-    """All runs of 1 to ``longest`` tokens, joined by a space."""
-    several = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(0)), F.lit(1)), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")) for n in range(1, longest + 1)]
-    guarded = [F.when(F.size(tokens) >= n, s).otherwise(F.array().cast("array<string>")) for n, s in enumerate(several, 1)]
-    return F.flatten(F.array(*guarded))
+        return texts.map(of)
+
+    return run
 
 
 def term_frame(spark: SparkSession, roster: Roster, capital: bool = False) -> DataFrame:
@@ -146,23 +148,22 @@ def term_frame(spark: SparkSession, roster: Roster, capital: bool = False) -> Da
     return spark.createDataFrame(rows, "term string, student_id string, kind string")
 
 
-def term_leaks(documents: DataFrame, terms: DataFrame, normal: Column, key: str = "doc_id") -> DataFrame:
-    """(key, student_id, kind), distinct: token runs of a normalised text that are terms (an equi-join)."""
+def term_leaks(documents: DataFrame, terms: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
+    """(key, student_id, kind), distinct: token runs of a text that are terms (an equi-join on exploded runs)."""
     longest = terms.select(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    exploded = documents.select(key, plain_tokens(normal).alias("tokens")).select(key, F.explode(runs(F.col("tokens"), longest)).alias("run"))
+    exploded = documents.select(key, text.alias("t")).select(key, F.explode(token_runs(longest)("t")).alias("run"))
     return exploded.join(F.broadcast(terms), F.col("run") == F.col("term")).select(key, "student_id", "kind").distinct()
 
 
-def window_leaks(documents: DataFrame, needles: DataFrame, hay: Column, kind: str, key: str = "doc_id") -> DataFrame:
-    """(key, student_id, kind), distinct: needles of a text without spaces, by an equi-join on windows of their lengths."""
-    sizes = [r[0] for r in needles.select(F.length("needle")).distinct().collect()]
-    rows = documents.select(key, hay.alias("hay"))
-    parts = [
-        F.when(F.length("hay") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col("hay"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in sorted(sizes)
-    ]
-    windows = rows.select(key, F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("window"))
-    return windows.join(F.broadcast(needles), F.col("window") == F.col("needle")).select(key, "student_id", F.lit(kind).alias("kind")).distinct()
+def substring_leaks(documents: DataFrame, needles: list[tuple[str, str]], hay: Column, kind: str, key: str = "doc_id") -> DataFrame:
+    """(key, student_id, kind), distinct: (needle, student_id) whose needle stands anywhere in a text.
+
+    The needles are a roster's, whose size is bounded; each is one search in the text, in generated code.
+    """
+    if not needles:
+        return documents.select(key, F.lit(None).cast("string").alias("student_id"), F.lit(kind).alias("kind")).limit(0)
+    hits = F.array_compact(F.array(*[F.when(F.contains("hay", F.lit(needle)), F.lit(owner)) for needle, owner in needles]))
+    return documents.select(key, hay.alias("hay")).select(key, F.explode(F.array_distinct(hits)).alias("student_id"), F.lit(kind).alias("kind"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

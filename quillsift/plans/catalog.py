@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillsift.plans import redaction_queries, review_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = redaction_queries.QUERIES | review_queries.QUERIES
+SQL = redaction_queries.SQL | review_queries.SQL
