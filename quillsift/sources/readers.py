@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PERSON = "role string, studentId string, firstName string, lastName string, email string, studentView boolean"
 SUBMISSION = "studentId string, file string, submittedAt timestamp"
@@ -46,26 +47,10 @@ def read_grades(spark: SparkSession, path: str) -> DataFrame:
     schema = f"studentId string, {GRADE}"
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    grades = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, struct<{_struct(GRADE)}>>")).alias("studentId", "grade"))
+    grades = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StructType.fromDDL(GRADE)))).alias("studentId", "grade"))
     return grades.select("studentId", "grade.*")
 
 
-def _struct(columns: str) -> str:
-    """Column definitions in the form that a struct type takes."""
-    out, depth, names = [], 0, True
-    for i, c in enumerate(columns):
-        depth += (c == "<") - (c == ">")
-        if c == " " and depth == 0 and names:
-            out.append(": ")
-            names = False
-        elif c == "," and depth == 0:
-            out.append(",")
-            names = True
-        elif not (c == " " and columns[i - 1] == ","):
-            out.append(c)
-    return "".join(out)
-
-
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """file, content, length of every file under a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
