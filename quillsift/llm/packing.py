@@ -37,35 +37,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others counted on from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokens(dict):
     """Word -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words.
-    The memory is emptied when it holds ``limit`` words.
+    Words in use stay in memory: when ``limit`` new ones have come, those not used since the last time
+    are forgotten. A word of Latin letters goes to the merges directly; normalising it is lower-casing.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def learn(self, missing: list[bytes]) -> None:
-        for begin in range(0, len(missing), 4096):
-            part = missing[begin : begin + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, code in zip(part, coded, strict=True):
-                self[word] = np.array(code.ids, "<u4").tobytes()
+        self.tokenizer, self.limit, self.older = Tokenizer.from_file(path), limit, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "replace")
+            if text.isalpha() and max(text) <= "\xff":
+                ids = np.array([t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+            elif text[-1] in ".,;:!?" and len(text) > 1 and text[:-1].isalpha() and text.isascii():
+                ids = self[word[:-1]] + self[word[-1:]]
+            else:
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def ids(self, text: str | None) -> bytes:
-        words = text_bytes(text).split()
         if len(self) > self.limit:
+            self.older = dict(self)
             self.clear()
-        missing = [w for w in set(words) if w not in self]
-        if missing:
-            self.learn(sorted(missing))
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text_bytes(text).split()))
 
 
 _TOKENS: dict[str, WordTokens] = {}
