@@ -1,7 +1,7 @@
 """Connected components of links between documents, by hooking to the smallest neighbour and contraction.
 
 Each round hooks every node that still has links to its smallest neighbour if that is smaller, follows the
-hooks once more, and rewrites the links between what remains. The smallest node of a component is never
+hooks to their ends by doubling, and rewrites the links between what remains. The smallest node of a component is never
 hooked, so it is the label that is left. Links and labels stay distributed; each round ends in a reliable
 checkpoint. Rows of one hot node meet in joins (which the engine may split) and partial aggregations only.
 """
@@ -28,8 +28,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooks = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("to")))
-        further = hooks.select(F.col("of").alias("of2"), F.col("to").alias("to2"))
-        hooks = checkpointed(hooks.join(further, F.col("to") == F.col("of2"), "left").select("of", F.coalesce("to2", "to").alias("to")))
+        moved = True
+        while moved:  # hooks of hooks, until every one names a root: as often as the logarithm of the longest chain
+            further = hooks.where("of != to").select(F.col("of").alias("of2"), F.col("to").alias("to2"))
+            hooks = checkpointed(hooks.join(further, F.col("to") == F.col("of2"), "left").select("of", F.coalesce("to2", "to").alias("to"), F.col("to2").isNotNull().alias("moved")))
+            moved = not hooks.where("moved").isEmpty()
         if first:  # at first every node of the links is its own label
             labels = labels.join(hooks, F.col("node") == F.col("of"), "left").select("node", F.coalesce("to", "label").alias("label"))
             first = False
