@@ -52,6 +52,8 @@ class ImpactIndex:
         k = min(k, others)
         if k == 0:
             return self.ids[:0], np.zeros(0)
+        if float(np.abs(self.vectors).max()) * float(np.abs(query).max()) * dims >= EXACT:  # sums of floats prove nothing here
+            return self._best(np.arange(n), query, own, k)
         positive = query[:, None] >= 0
         certain = np.where(positive, query[:, None] * self.low, query[:, None] * self.high)
         possible = np.where(positive, query[:, None] * self.high, query[:, None] * self.low)
@@ -85,11 +87,15 @@ class ImpactIndex:
                 members = np.flatnonzero(score + open_sum >= least)
                 if len(members) <= max(4 * k, n // 64):
                     break
-        if members is None:
-            members = np.arange(n)
+        return self._best(np.arange(n) if members is None else members, query, own, k)
+
+    def _best(self, members: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         members = members[self.ids[members] != own]
         exact = exact_scores(self.vectors[members], query)
-        best = np.lexsort((self.ids[members], -exact.astype(np.float64) if exact.dtype != object else [-x for x in exact]))[:k]
+        if exact.dtype == object:
+            best = np.array(sorted(range(len(exact)), key=lambda i: (-exact[i], self.ids[members[i]]))[:k], np.int64)
+        else:
+            best = np.lexsort((self.ids[members], -exact))[:k]
         return self.ids[members][best], exact[best]
 
 
