@@ -72,7 +72,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
+_INK = "[^\\x20\\x09-\\x0D]"
+_RATIOS = {
+    "symbol_permille": ("n_symbols", "word_chars", 50),
+    "dup_line_permille": ("n_dup_lines", "n_lines", 300),
+    "repeat_permille": ("n_repeat_words", "n_words", 200),
+    "word_length_permille": ("word_chars", "n_words", 15000),
+}
+_PER = ", ".join(f"CASE WHEN {w} > 0 THEN 1000 * {p} // {w} ELSE 0 END AS {r}" for r, (p, w, _) in _RATIOS.items())
+_LONG = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS feature, ({r} >> d) << d AS bucket FROM (SELECT *, greatest(length(bin({r})) - 6, 0) AS d FROM rated WHERE NOT base_failed)" for r in _RATIOS)
+_CUTS = ", ".join(f"max(CASE WHEN feature = '{r}' THEN greatest(3 * lowest, {f}) END) AS {r}_cut" for r, (_, _, f) in _RATIOS.items())
+_WITHIN = " AND ".join(f"coalesce({r} <= {r}_cut, false)" for r in _RATIOS)
+
 SQL: dict[str, str] = {
+    "op2_quality_rules": f"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{_INK}+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_INK}')) AS ls
+  FROM documents
+), grams AS (
+  SELECT rid, unnest(range(1, greatest(len(ws) - 6, 1))) AS place, unnest(list_transform(range(1, greatest(len(ws) - 6, 1)), lambda i: array_to_string(ws[i:i + 7], ' '))) AS gram FROM split
+), again AS (
+  SELECT rid, place FROM (SELECT rid, place, count(*) OVER (PARTITION BY rid, gram) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT rid, count(DISTINCT place + k) AS n_repeat_words FROM again, range(0, 8) AS r(k) GROUP BY rid
+), base AS (
+  SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines
+  FROM split LEFT JOIN covered USING (rid)
+), rated AS (
+  SELECT *, {_PER}, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
+), sketch AS (
+  SELECT lang, source, feature, bucket, count(*) AS n FROM ({_LONG}) GROUP BY ALL
+), whole AS (
+  SELECT feature, bucket, sum(n) AS n_all, sum(sum(n)) OVER (PARTITION BY feature) AS n_total FROM sketch GROUP BY feature, bucket
+), mixed AS (
+  SELECT lang, source, feature, bucket, sum(w) AS w FROM (
+    SELECT lang, source, feature, bucket, CAST(n AS DOUBLE) AS w FROM sketch
+    UNION ALL SELECT lang, source, feature, bucket, 200.0 * CAST(n_all AS DOUBLE) / CAST(n_total AS DOUBLE) FROM (SELECT DISTINCT lang, source, feature FROM sketch) JOIN whole USING (feature)
+  ) GROUP BY ALL
+), walk AS (
+  SELECT *, sum(w) OVER (PARTITION BY lang, source, feature ORDER BY bucket) AS seen, sum(w) OVER (PARTITION BY lang, source, feature) AS all_w FROM mixed
+), cuts AS (
+  SELECT lang, source, {_CUTS} FROM (SELECT lang, source, feature, min(bucket) AS lowest FROM walk WHERE seen * 1000 >= all_w * 750 - 1e-6 GROUP BY ALL) GROUP BY lang, source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_WITHIN} AS kept
+FROM rated r LEFT JOIN cuts c ON r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source
+""",
     "op4_impact_search": """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
