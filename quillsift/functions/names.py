@@ -11,6 +11,7 @@ import regex
 OCR_CONFUSIONS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("1", "l"), ("0", "o"), ("5", "s"))
 
 _MARKS = regex.compile(r"\p{M}+")
+_ASCII_REST = regex.compile(r"[^a-z0-9]+")
 _BREAKS = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -21,6 +22,9 @@ def normalise(text: str) -> str:
 
 
 def squeeze(text: str) -> str:
+    if text.isascii():  # nothing to decompose
+        low = text.lower()
+        return low if low.isalnum() else _ASCII_REST.sub("", low)
     return normalise(text).replace(" ", "")
 
 

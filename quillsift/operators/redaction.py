@@ -77,7 +77,7 @@ def labels(text: str, roster: Roster) -> str:
 def _is_pair(roster: Roster, left: str, right: str, gap: str) -> bool:
     """Whether two neighbouring words are one person's name, one part exact and the other nearly."""
     a, b = ocr_fold(left), ocr_fold(right)
-    people = roster.partners.get(a, []) + roster.partners.get(b, [])
+    people = [*roster.partners.get(a, ()), *roster.partners.get(b, ())] if a in roster.partners or b in roster.partners else ()
     if not people or starts_upper(left) != starts_upper(right):
         return False
     comma = gap.strip(" \t") == "," and gap.count(",") == 1
