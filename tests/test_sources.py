@@ -86,6 +86,16 @@ def test_image_headers():
     assert E.extract(png(10, 10), ".png", read)["text"] == "by a reader"
 
 
+def test_links_blank_pages_and_pictures():
+    rels = f'<Relationships><Relationship Id="1" Type="{REL}/image" Target="http://x/y.png" TargetMode="External"/><Relationship Id="2" Type="{REL}/hyperlink" Target="http://x" TargetMode="External"/><Relationship Id="3" Type="{REL}/image" Target="a.png"/></Relationships>'
+    clean = E.without_links(archive({"word/_rels/document.xml.rels": rels, "word/document.xml": "<d>IncludePicture x</d>"}))
+    parts = E.Parts(clean, ".docx")
+    assert [r.get("Id") for r in parts.xml("word/_rels/document.xml.rels")] == ["2", "3"] and parts.read("word/document.xml") == b"<d>IGNOREDPicture x</d>"
+    white, black = b"\xff\xff\xff\xff", b"\0\0\0\xff"
+    assert E.is_blank(white * 1000 + black) and not E.is_blank(white * 100 + black)
+    assert E.distinct_pictures([(png(200, 10), 3), (png(50, 50), 1), (b"GIF", 1), (png(200, 10), 5)]) == [(png(200, 10), 3, 2)]
+
+
 def test_signatures():
     assert E.SIGNATURES[".doc"](b"{\\rtf1") and E.SIGNATURES[".doc"](E.OLE + "WordDocument".encode("utf-16-le")) and not E.SIGNATURES[".ppt"](E.OLE)
     assert E.SIGNATURES[".pdf"](b"x" * 1000 + b"%PDF-1.7")
