@@ -42,59 +42,75 @@ def piece_scores(path: str) -> dict[str, float]:
 
 
 class ForwardTrie:
-    """Nodes are [score, pieces, children]."""
+    """Nodes are [score, pieces, children].
+
+    Counts of words in use outlive the trie: when it is full, those asked for since the last time stay.
+    """
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        # Lengths of the pieces that end in two given characters; of one character; only these are looked up.
+        ends: dict[str, set[int]] = {}
+        for piece in scores:
+            ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.ends = {k: tuple(sorted(v)) for k, v in ends.items()}
         self.counts: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.root = [0.0, 0, {}]
+        self.root: list = [0.0, 0, {}]
         self.nodes = 1
-        self.counts.clear()
-
-    def _step(self, word: str, end: int, path: list) -> list:
-        """Node of the prefix ``word[:end]``, whose own prefixes are in ``path``."""
-        char = word[end - 1]
-        before = path[end - 1]
-        size = len(char.encode("utf-8", "surrogatepass"))
-        score, count = before[0] + BYTE_SCORE * size, before[1] + size
-        for begin in range(max(0, end - self.longest), end):
-            piece = self.scores.get(word[begin:end])
-            if piece is not None:
-                node = path[begin]
-                s, c = node[0] + piece, node[1] + 1
-                if s > score or (s == score and c < count):
-                    score, count = s, c
-        return [score, count, {}]
+        self.older, self.counts = self.counts, {}
+
+    def _extend(self, word: str, begin: int, path: list, keep: bool) -> list:
+        """Nodes of the prefixes of ``word`` from length ``begin`` + 1 on; ``path``: those up to ``begin``."""
+        scores, ends = self.scores, self.ends
+        node = path[begin]
+        for end in range(begin + 1, len(word) + 1):
+            char = word[end - 1]
+            if char in scores:
+                score, count = node[0] + scores[char], node[1] + 1
+                size = 0
+            else:
+                size = len(char.encode("utf-8", "surrogatepass"))
+                score, count = node[0] + BYTE_SCORE * size, node[1] + size
+            for length in ends.get(word[end - 2 : end], ()) if end > 1 else ():
+                if length > end:
+                    break
+                piece = scores.get(word[end - length : end])
+                if piece is not None:
+                    before = path[end - length]
+                    s, c = before[0] + piece, before[1] + 1
+                    if s > score or (s == score and c < count):
+                        score, count = s, c
+            fresh = [score, count, {}]
+            if keep:
+                node[2][char] = fresh
+                self.nodes += 1
+            path.append(fresh)
+            node = fresh
+        return node
 
     def count(self, word: str) -> int:
         if len(word) > LONGEST:
-            return self.count_alone(word)
+            return self._extend(word, 0, [self.root], False)[1]
         node, path = self.root, [self.root]
-        for end, char in enumerate(word, 1):
+        for at, char in enumerate(word):
             child = node[2].get(char)
             if child is None:
-                child = node[2][char] = self._step(word, end, path)
-                self.nodes += 1
+                return self._extend(word, at, path, True)[1]
             path.append(child)
             node = child
         return node[1]
 
-    def count_alone(self, word: str) -> int:
-        path: list = [self.root]
-        for end in range(1, len(word) + 1):
-            path.append(self._step(word, end, path))
-        return path[-1][1]
-
     def text_count(self, words: list[bytes]) -> int:
         if self.nodes > MOST_NODES:
             self.clear()
-        known = self.counts
+        known, older = self.counts, self.older
         for w in sorted({w for w in words if w not in known}):
-            known[w] = self.count(MARK + w.decode("utf-8", "replace"))
+            n = older.get(w)
+            known[w] = self.count(MARK + w.decode("utf-8", "replace")) if n is None else n
         return sum(map(known.__getitem__, words))
 
 
