@@ -113,25 +113,26 @@ def fit_rows(rows: list[bytes], twins: list[tuple[int, bytes]], labels: np.ndarr
     positive = float(labels.sum()) if n else 0.0
     if n == 0 or positive in (0.0, float(n)):
         return ToxicityModel(np.zeros(size, np.float32), 4.0 if n and positive == n else -4.0)
-    idx, starts = sparse_rows(rows)
-    counts = np.bincount(idx, minlength=size)
-    toxic = np.bincount(idx, weights=np.repeat(labels, np.diff(starts)), minlength=size)
+    counts, toxic = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    slices = [slice(i, i + 256) for i in range(0, n, 256)]
+    for part in slices:
+        idx, starts = sparse_rows(rows[part])
+        counts += np.bincount(idx, minlength=size)
+        toxic += np.bincount(idx[np.repeat(labels[part] > 0, np.diff(starts))], minlength=size)
     share = positive / n
     off = np.abs(toxic - counts * share) / np.sqrt(np.maximum(1e-9, counts * share * (1 - share)))
     frequent = np.flatnonzero((counts >= least) & (off >= min(deviation, 0.5 * (n * (1 - share) / share) ** 0.5)))
     place = np.full(size, -1, np.int64)
     place[frequent] = np.arange(len(frequent))
 
-    def compact(idx: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = place[idx]
-        keep = at >= 0
-        kept = np.zeros(len(idx) + 1, np.int64)
-        np.cumsum(keep, out=kept[1:])
-        begin = kept[starts]
-        return at[keep], begin, np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    def compact(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Column, row starts and row of each feature that counts."""
+        kept = [at[at >= 0] for at in (place[np.frombuffer(b, np.uint32)] for b in blobs)]
+        sizes = np.array([len(k) for k in kept], np.int64)
+        return np.concatenate([*kept, np.zeros(0, np.int64)]), np.r_[0, np.cumsum(sizes)], np.repeat(np.arange(len(kept)), sizes)
 
-    x, xs, xr = compact(idx, starts)
-    t, ts, tr = compact(*sparse_rows([b for _, b in twins]))
+    x, xs, xr = compact(rows)
+    t, ts, tr = compact([b for _, b in twins])
     of = np.array([i for i, _ in twins], np.int64)
     m = len(frequent)
     w, bias = np.zeros(m), float(np.log(positive / (n - positive)))
