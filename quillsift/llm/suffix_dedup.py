@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillsift.llm.common import text_bytes
 from quillsift.llm.suffix_sort import prefix_names
@@ -75,8 +76,13 @@ class Group:
     """The texts of one group in one buffer, by id, then text."""
 
     def __init__(self, frame: pd.DataFrame):
-        rows = sorted((int(i), text_bytes(t)) for i, t in zip(frame["doc_id"], frame["text"], strict=True) if not pd.isna(i))
-        self.without_id = [text_bytes(t) for i, t in zip(frame["doc_id"], frame["text"], strict=True) if pd.isna(i)]
+        texts = list(map(text_bytes, frame["text"]))
+        known = [(int(i), t, k) for k, (i, t) in enumerate(zip(frame["doc_id"], texts, strict=True)) if not pd.isna(i)]
+        known.sort(key=lambda r: r[:2])
+        #: Row of the frame of each text in the buffer, then of the rows without id.
+        self.order = [k for _, _, k in known] + [k for k, i in enumerate(frame["doc_id"]) if pd.isna(i)]
+        self.without_id = [texts[k] for k in self.order[len(known) :]]
+        rows = [(i, t) for i, t, _ in known]
         self.ids = np.array([i for i, _ in rows], np.int64)
         self.ends = np.cumsum(np.array([len(t) for _, t in rows], np.int64)) if rows else np.zeros(0, np.int64)
         self.starts = np.r_[0, self.ends[:-1]].astype(np.int64) if rows else self.ends
@@ -318,13 +324,13 @@ def merged_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin[fresh], reach[np.r_[fresh[1:], len(begin)] - 1]
 
 
-def cut_out(texts: bool):
+def cut_out(texts: bool, carry: list[str]):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * texts
 
     def run(key: tuple, frame: pd.DataFrame, settled: pd.DataFrame) -> pd.DataFrame:
         group = Group(frame) if len(frame) else None
         if group is None:
-            return pd.DataFrame([], columns=names)
+            return pd.DataFrame([], columns=names + [f"carry_{c}" for c in carry])
         at = _joined(_of(settled, 2)["a"], "<u4").astype(np.int64)
         document = group.document_of(at)
         begin = [np.maximum(at - LEFT, group.starts[document])] if len(at) else []
@@ -353,14 +359,18 @@ def cut_out(texts: bool):
             rows.append((*row, t.decode("utf-8", "ignore"), []) if texts else row)
         out = pd.DataFrame(rows, columns=names)
         out["doc_id"] = pd.array([None if pd.isna(i) else int(i) for i in (r[0] for r in rows)], "Int64")
+        for c in carry:
+            out[f"carry_{c}"] = frame[f"carry_{c}"].array.take(group.order)
         return out
 
     return run
 
 
-def suffix_dedup(documents: DataFrame, texts: bool = False) -> DataFrame:
+def suffix_dedup(documents: DataFrame, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``texts`` also the kept text and the removed spans.
 
+    Columns named in ``carry`` come along as ``carry_<name>``, so that nothing has to be joined back.
+
     Spans are byte offsets (begin, end, begin, ...). The kept text leaves out bytes of characters that were
     cut through. A null text counts as empty. A row without id is left whole, and removes nothing elsewhere. Rows of
     one id do not remove each other's bytes, whether they repeat or clash. Texts under WIDTH bytes are
@@ -368,7 +378,7 @@ def suffix_dedup(documents: DataFrame, texts: bool = False) -> DataFrame:
     """
     size = documents.select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
-    dealt = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carry_{c}") for c in carry])
     keys = dealt.groupBy("g").applyInPandas(send_keys(groups), PART_SCHEMA)
     shared = keys.groupBy("bucket").applyInPandas(answer_shared, PART_SCHEMA)
     contexts = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(send_contexts(groups), PART_SCHEMA)
@@ -376,4 +386,7 @@ def suffix_dedup(documents: DataFrame, texts: bool = False) -> DataFrame:
     suffixes = dealt.groupBy("g").cogroup(verdicts.where("kind = 3").groupBy("g")).applyInPandas(send_suffixes, PART_SCHEMA)
     strings = suffixes.groupBy("bucket").applyInPandas(settle_strings, PART_SCHEMA)
     settled = verdicts.where("kind = 2").unionByName(strings)
-    return dealt.groupBy("g").cogroup(settled.groupBy("g")).applyInPandas(cut_out(texts), TEXT_SCHEMA if texts else DIGEST_SCHEMA)
+    schema = T.StructType.fromDDL(TEXT_SCHEMA if texts else DIGEST_SCHEMA)
+    for field in dealt.select(*[f"carry_{c}" for c in carry]).schema:
+        schema.add(field.name, field.dataType)
+    return dealt.groupBy("g").cogroup(settled.groupBy("g")).applyInPandas(cut_out(texts, list(carry)), schema)
