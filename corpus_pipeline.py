@@ -37,13 +37,15 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     A document of which no word is left goes; documents without repeats stay as they are.
     """
-    kept = suffix_dedup(docs.where("doc_id is not null"), texts=True).where("n_removed > 0")
-    cut = kept.select(F.col("doc_id").alias("cut_id"), F.col("kept").alias("cut_text"))
-    joined = docs.join(cut, F.col("doc_id") == F.col("cut_id"), "left")
-    text = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.col("cut_text"))
-    chars = F.when(F.col("cut_id").isNull(), F.col("n_chars")).otherwise(F.length("cut_text").cast("long"))
-    left = F.col("cut_id").isNull() | F.col("cut_text").rlike(r"[^\x20\x09-\x0D]")
-    return joined.where(left).withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    had_text = docs.select(*docs.columns, F.col("text").isNotNull().alias("had_text"))
+    cut = suffix_dedup(had_text, texts=True, carry=(*others, "had_text"))
+    changed = F.col("n_removed") > 0
+    text = F.when(F.col("carry_had_text"), F.col("kept"))
+    out = cut.where(~changed | F.col("kept").rlike(r"[^\x20\x09-\x0D]")).select(
+        "doc_id", text.alias("text"), *[(F.when(changed, F.length("kept").cast("long")).otherwise(F.col("carry_n_chars")) if c == "n_chars" else F.col(f"carry_{c}")).alias(c) for c in others]
+    )
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
