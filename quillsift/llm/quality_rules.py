@@ -5,6 +5,9 @@ keeps its top ``PRECISION`` bits, so a bucket's lower bound is within 1/32 of ev
 merge by adding counts, which a partial aggregation does before the shuffle; a group of any size ends
 as some hundred buckets a feature. Cutoffs are read from a group's own sketch mixed with the sketch of
 all documents (``PRIOR`` rows' worth), so that small groups lean on the whole.
+
+``quality_rules`` is held against SQL, whose cutoffs are three times the upper quartile and never under
+fixed floors. ``adaptive_rules`` takes every cutoff from the tail of the mixed sketch alone.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ QUANTILE_PERMILLE = 750
 SLACK = 3
 FLOORS = {"symbol_permille": 50, "dup_line_permille": 300, "repeat_permille": 200, "word_length_permille": 15000}
 PRIOR = 200
+#: Adaptive cutoffs are the quantile at this per mille: where most rows are 0, the tail still tells groups apart.
+TAIL_PERMILLE = 950
 
 BASE_SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())]
@@ -112,8 +117,15 @@ def sketches(rows: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "x.feature", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cutoffs(sketch: DataFrame) -> DataFrame:
-    """One row a (lang, source) with the cutoff of every ratio."""
+def bucket_end(start: Column) -> Column:
+    """Largest value in the sketch bucket that begins at ``start``."""
+    drop = F.greatest(F.length(F.bin(start)) - PRECISION, F.lit(0))
+    return start + F.call_function("shiftleft", F.lit(1).cast("long"), drop) - 1
+
+
+def cutoffs(sketch: DataFrame, adaptive: bool = False) -> DataFrame:
+    """One row a (lang, source) with the cutoff of every ratio; ``adaptive``: from the sketches alone, no floors."""
+    permille = TAIL_PERMILLE if adaptive else QUANTILE_PERMILLE
     whole = sketch.groupBy("feature", "bucket").agg(F.sum("n").alias("n_all"))
     total = whole.groupBy("feature").agg(F.sum("n_all").alias("n_total"))
     groups = sketch.select("lang", "source", "feature").distinct()
@@ -132,12 +144,13 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
         F.struct(F.lit(0.0).alias("seen"), F.lit(-1).cast("long").alias("at")),
         lambda s, x: F.struct(
             (s["seen"] + x["w"]).alias("seen"),
-            F.when((s["at"] < 0) & ((s["seen"] + x["w"]) * 1000 >= F.col("all_w") * QUANTILE_PERMILLE - 1e-6), x["bucket"]).otherwise(s["at"]).alias("at"),
+            F.when((s["at"] < 0) & ((s["seen"] + x["w"]) * 1000 >= F.col("all_w") * permille - 1e-6), x["bucket"]).otherwise(s["at"]).alias("at"),
         ),
     )
     floor = F.create_map(*[F.lit(v) for kv in FLOORS.items() for v in kv])
+    cut = bucket_end(walk["at"]) if adaptive else F.greatest(walk["at"] * SLACK, floor[F.col("feature")].cast("long"))
     return (
-        mixed.select("lang", "source", "feature", F.greatest(walk["at"] * SLACK, floor[F.col("feature")].cast("long")).alias("cut"))
+        mixed.select("lang", "source", "feature", cut.alias("cut"))
         .groupBy("lang", "source")
         .pivot("feature", list(RATIOS))
         .agg(F.first("cut"))
@@ -152,8 +165,17 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     of their own. Repeated rows are judged each by itself; ties with a cutoff are kept. An empty table
     gives an empty result. Further columns of ``documents`` are ignored.
     """
+    return _judged(documents, adaptive=False)
+
+
+def adaptive_rules(documents: DataFrame) -> DataFrame:
+    """As ``quality_rules``, with cutoffs from the sketches alone: a ratio rejects about 5 % of a large group at most."""
+    return _judged(documents, adaptive=True)
+
+
+def _judged(documents: DataFrame, adaptive: bool) -> DataFrame:
     rows = checkpointed(measured(documents))  # some 100 bytes a document; read for the sketches and again for the verdict
-    cuts = cutoffs(sketches(rows)).withColumnsRenamed({"lang": "cut_lang", "source": "cut_source"})
+    cuts = cutoffs(sketches(rows), adaptive).withColumnsRenamed({"lang": "cut_lang", "source": "cut_source"})
     within = F.lit(True)
     for ratio in RATIOS:
         within &= F.coalesce(F.col(ratio) <= F.col(f"{ratio}_cut"), F.lit(False))

@@ -12,7 +12,7 @@ from quillsift.llm.lm_scoring import lm_scores
 from quillsift.llm.mixing import mix
 from quillsift.llm.packing import best_fit_pack
 from quillsift.llm.quality_classifier import quality
-from quillsift.llm.quality_rules import quality_rules
+from quillsift.llm.quality_rules import adaptive_rules, quality_rules
 from quillsift.llm.simhash import near_duplicates
 from quillsift.llm.suffix_dedup import suffix_dedup
 from quillsift.llm.token_counts import token_counts
@@ -27,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op2_adaptive_rules": op2_adaptive_rules,
     "op3_simhash": op3_simhash,
     "op4_impact_search": op4_impact_search,
     "op5_lm_scoring": op5_lm_scoring,

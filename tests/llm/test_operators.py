@@ -113,6 +113,18 @@ def test_quality_rules(docs, rows, empty):
     assert any(r["kept"] for r in got) and quality_rules.quality_rules(empty).count() == 0
 
 
+def test_adaptive_cutoffs_follow_the_group(spark):
+    prose = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}rest" for i in range(100)]
+    # In one group 20 of 3000 texts have 4 % of symbols and the rest none, in the other every text has 7 %.
+    texts = [("clean", " ".join(["#" * 24, *prose] if i < 20 else prose)) for i in range(3000)] + [("signs", " ".join(["#" * 46, *prose])) for _ in range(500)]
+    df = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality_rules.adaptive_rules(df).where("kept").collect()}
+    assert kept == set(range(20, 3500))
+    fixed = {r["doc_id"] for r in quality_rules.quality_rules(df).where("kept").collect()}
+    assert fixed >= set(range(3000))  # the floor of 50 keeps them, whatever is usual in the group
+    assert quality_rules.adaptive_rules(df.limit(0)).count() == 0
+
+
 def test_sketches_merge_and_bound_the_error(spark):
     values = [int(random.Random(2).paretovariate(0.5) * 10) % 10**9 for _ in range(3)] + list(range(3000))
     df = spark.createDataFrame([(v,) for v in values], "v long").withColumn("b", quality_rules.bucket(F.col("v")))
