@@ -3,8 +3,9 @@
 Counts cover every training text: counted per task, summed by word. The most frequent words (HEAD_WORDS
 at most) go to every executor; the counts of all other words are joined where they are needed. The
 recurrent model starts as the unigram model of these counts, is trained by the driver on a share of the
-training texts, and then, in rounds, by every task on a share of its own (a fixed part of the corpus, so
-that this grows with it); the tasks' models are averaged, weighted by words, in groups and then at last.
+training texts, and then by the tasks on all of them: every training text comes in one of the rounds, in
+the task that reads it. The tasks' models are averaged after each round, weighted by words, in groups and
+then at last.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ HEAD_WORDS = 150_000
 SMOOTHING = 0.1
 #: The end of a text; no word has white space.
 END = b"\n"
-#: Texts that the driver starts with, at most (in expectation); parts of the corpus for a round of all tasks.
+#: Texts that the driver starts with, at most (in expectation); rounds that the one pass over all texts is split into.
 START_TEXTS = 1500
-ROUNDS, PARTS = 2, 64
+ROUNDS = 2
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -109,6 +110,11 @@ def _part(rows: DataFrame, salt: str, parts: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < F.lit((1 << 20) // parts))
 
 
+def _round(rows: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """The rows of a round; each row is in one of the ``rounds``."""
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == turn)
+
+
 def train(training: DataFrame, vocabulary: Vocabulary, sent, rounds: int = ROUNDS) -> GatedLM:
     """``training``: (doc_id, text), of which ``vocabulary`` was counted; ``sent``: its broadcast."""
     model = vocabulary.start_model()
@@ -134,7 +140,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, sent, rounds: int = ROUND
             if seen:
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "words": [seen], "model": [own.to_bytes()]})
 
-        trained = _part(training, f"round{turn}", PARTS).mapInPandas(local, "part int, words long, model binary")
+        trained = _round(training, turn, rounds).mapInPandas(local, "part int, words long, model binary")
         merged = trained.groupBy(F.pmod("part", F.lit(max(1, int((texts / 8192) ** 0.5)))).alias("m")).applyInPandas(_average, "words long, model binary")
         rows = merged.toPandas()
         if len(rows):

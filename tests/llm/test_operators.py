@@ -288,6 +288,17 @@ def test_lm_scores(docs, rows, empty, monkeypatch, head):
         assert lm_scoring.lm_scores(empty).count() == 0
 
 
+def test_every_training_text_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "START_TEXTS", 1)
+    rnd = random.Random(4)
+    starts = [rnd.randrange(12) for _ in range(20_000)]
+    df = spark.createDataFrame([(i, " ".join(f"w{(s + k) % 12}" for k in range(60))) for i, s in enumerate(starts)], "doc_id long, text string")
+    parts = [{r["doc_id"] for r in lm_scoring._round(df, k, lm_scoring.ROUNDS).collect()} for k in range(lm_scoring.ROUNDS)]
+    assert sorted(i for p in parts for i in p) == list(range(20_000))
+    got = lm_scoring.lm_scores(df).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert got["score"] > 0.8 * got["base"]  # the order of the words tells the next one; counts alone don't
+
+
 # --- token counts ---------------------------------------------------------------------------------------------------
 
 
