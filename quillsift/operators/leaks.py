@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.functions.names import deletions, normalise, ocr_fold, squeeze
+from quillsift.functions.names import deletions, near, normalise, ocr_fold, reach, squeeze
 from quillsift.operators.redaction import EMAIL, MID_CAPITAL, WORD, is_author_word, zone
 from quillsift.operators.roster import DIGIT_LOOKALIKES, FLAGS, Roster
 
@@ -166,18 +166,59 @@ def substring_leaks(documents: DataFrame, needles: list[tuple[str, str]], hay: C
     return documents.select(key, hay.alias("hay")).select(key, F.explode(F.array_distinct(hits)).alias("student_id"), F.lit(kind).alias("kind"))
 
 
+@F.pandas_udf(T.StringType())
+def id_hay(texts: pd.Series) -> pd.Series:
+    """All digits that a text's runs of digits and lookalikes may stand for, by a space."""
+    return texts.map(lambda t: " ".join(id_readings(t)), na_action="ignore")
+
+
+def deletion_variants(depth: int, longest: int):
+    """UDF: what is left of a word of ``longest`` letters at most after up to ``depth`` deletions."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: sorted(deletions(w, depth)) if w is not None and len(w) <= longest else [])
+
+    return run
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def deletion_variants(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: sorted(deletions(w, 1)) if w is not None and len(w) <= 40 else [])
+def name_variants(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: sorted(deletions(n, reach(n))))
+
+
+@F.pandas_udf(T.StringType())
+def ocr_folded(words: pd.Series) -> pd.Series:
+    return words.map(ocr_fold, na_action="ignore")
+
+
+@F.pandas_udf(T.BooleanType())
+def is_near(words: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([near(w, n) for w, n in zip(words, names, strict=True)], dtype=bool)
+
+
+def near_name_matches(words: DataFrame, names: DataFrame) -> DataFrame:
+    """(word, name) where the folded word is within the name's tier of edits: an equi-join on deletion variants, then a check.
+
+    ``words``: (word), distinct, as written; ``names``: (name), folded. Longer words than the longest name
+    and its two edits can't be near.
+    """
+    longest = names.select(F.max(F.length("name"))).first()[0] or 0
+    folded = words.select("word", ocr_folded("word").alias("folded")).where(F.length("folded") >= 2)
+    left = folded.select("word", "folded", F.explode(deletion_variants(2, longest + 2)("folded")).alias("variant"))
+    right = names.select("name", F.explode(name_variants("name")).alias("variant_of"))
+    met = left.join(right, F.col("variant") == F.col("variant_of")).select("word", "folded", "name").distinct()
+    return met.where(is_near("folded", "name")).select("word", "name")
 
 
 def fuzzy_name_matches(words: DataFrame, names: DataFrame) -> DataFrame:
     """(word, name) at most one edit apart (swaps count one): an equi-join on deletion variants, then a check.
 
-    ``words``: (word), distinct; ``names``: (name).
+    ``words``: (word), distinct; ``names``: (name). ``near_name_matches`` has the tiers and the folding.
     """
-    left = words.select("word", F.explode(deletion_variants("word")).alias("variant"))
-    right = names.select("name", F.explode(deletion_variants("name")).alias("variant_of"))
+    variants = deletion_variants(1, (names.select(F.max(F.length("name"))).first()[0] or 0) + 1)
+    left = words.select("word", F.explode(variants("word")).alias("variant"))
+    right = names.select("name", F.explode(variants("name")).alias("variant_of"))
     met = left.join(F.broadcast(right), F.col("variant") == F.col("variant_of")).select("word", "name").distinct()
     a, b = F.col("word"), F.col("name")
     swapped = (F.length(a) == F.length(b)) & F.exists(

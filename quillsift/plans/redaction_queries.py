@@ -102,6 +102,11 @@ def student_id_windows(spark, sf_dir):
     return L.substring_leaks(submissions(spark, sf_dir), [(p.student_id, p.student_id) for p in STUDENTS], hay, "studentId")
 
 
+def student_id_readings(spark, sf_dir):
+    """As ``student_id_windows``, with lookalikes read as digits and bars as separators or ones."""
+    return L.substring_leaks(submissions(spark, sf_dir), [(p.student_id, p.student_id) for p in STUDENTS], L.id_hay(F.col("text")), "studentId")
+
+
 def merged_names(spark, sf_dir):
     rows = [(run, o) for run, owners in sample_roster().merged.items() for o in owners if o != "teacher"]
     return L.substring_leaks(submissions(spark, sf_dir), rows, F.replace(L.normalised(F.col("text")), F.lit(" "), F.lit("")), "name")
@@ -124,6 +129,12 @@ def fuzzy_names(spark, sf_dir):
     return L.fuzzy_name_matches(words, spark.createDataFrame([(n,) for n in names], "name string"))
 
 
+def near_names(spark, sf_dir):
+    """Words as written and the folded names, the teacher's included, that they may stand for where matching is loose."""
+    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}'’]+)"), F.lit(1))).alias("word")).distinct()
+    return L.near_name_matches(words, spark.createDataFrame([(n,) for n in sorted(sample_roster().owners)], "name string"))
+
+
 def redact_full(spark, sf_dir):
     out = redacted(submissions(spark, sf_dir), sample_roster(), author="student_id")
     return out.select("doc_id", "student_id", F.md5("redacted").alias("redacted_md5"), F.regexp_count("redacted", F.lit(r"\[REDACTED\]")).alias("marks"))
@@ -154,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         redact_email_by_lang, redact_email, id_like_documents, clean_text, collapse_marks, word_counts_by_lang, writing_documents, same_words_pairs, roster_terms,
-        capital_terms, student_id_windows, merged_names, glued_surnames, fuzzy_names, redact_full, find_leaks_full, route_submissions, route_by_confidence,
+        capital_terms, student_id_windows, student_id_readings, merged_names, glued_surnames, fuzzy_names, near_names, redact_full, find_leaks_full, route_submissions, route_by_confidence,
     )
 }
 

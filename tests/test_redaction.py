@@ -127,3 +127,24 @@ def test_steps_through_spark(spark):
     for i, text, who in rows:
         assert got[i] == (None, []) if text is None else (redact(text, R, who), find_leaks(text, R, author=who))
     assert [n for n, _ in STEPS][0] == "compatibility_forms" and STEPS[-1][0] == "collapse"
+
+
+def test_joins_find_what_the_detector_finds(spark):
+    from quillsift.operators import leaks as L
+
+    long = "abcdefghij" * 6
+    roster = Roster((Person("Grace", "Kirn", "gkirn@northvale.edu", "700200301"), Person(long, "Halvorsen", "h@northvale.edu", "812345602")))
+    written = ["Halvorsen", "Halvrosen", "HaIvorsn", "Halvo", "Hxlvxrsen", "hxlxxrsen", "KIM", "Kiim", "Kxxm", "Grcae", "G", "çrace", long, long[:-2], long + "xy", long + "xyz", "1" * 400]
+    words = spark.createDataFrame([(w,) for w in written] + [(None,)], "word string")
+    names = spark.createDataFrame([(n,) for n in roster.owners], "name string")
+    want = {(w, n) for w in written for n in roster.near_names(w)}
+    assert {tuple(r) for r in L.near_name_matches(words, names).collect()} == want
+    assert {("Hxlvxrsen", "halvorsen"), (long + "xy", long)} <= want
+    one = {tuple(r) for r in L.fuzzy_name_matches(spark.createDataFrame([(long,), (long + "x",)], "word string"), names).collect()}
+    assert one == {(long, long), (long + "x", long)}
+
+    texts = ["ID 700200301", "7OO-2oo 3O1", "no. 700|200|301", "8l2 345 6O2", "8|2345602", "70020030", "", None]
+    ids = [(i, i) for i in sorted(roster.student_ids)]
+    found = L.substring_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ids, L.id_hay("text"), "studentId")
+    want = {(k, o, kind) for k, t in enumerate(texts) if t for o, kind in find_leaks(t, roster) if kind == "studentId"}
+    assert {tuple(r) for r in found.collect()} == want and {k for k, *_ in want} == {0, 1, 2, 3, 4}
