@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import checkpoint_folder, table
+from quillsift.llm.common import checkpoint_folder, checkpointed, table
 from quillsift.llm.mixing import mix
 from quillsift.llm.packing import best_fit_pack
-from quillsift.llm.simhash import near_duplicates
+from quillsift.llm.simhash import fingerprint_of, members
 from quillsift.llm.suffix_dedup import suffix_dedup
 from quillsift.llm.toxicity import drop_toxic, fit
 
@@ -26,10 +26,21 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays. Rows without id stay."""
-    found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates one row of the smallest id stays. Rows without id stay.
+
+    Where rows share that id, it is the row of the smallest fingerprint and then of the smallest text; rows
+    of one id in different groups stay, one a group.
+    """
+    found = members(docs).where("doc_id is not null")
+    first = F.col("doc_id") == F.col("component_id")
+    ids = checkpointed(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("stays")).where("stays").select("doc_id", "n"))
+    alone = docs.join(ids.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
+    stay = found.where(first).groupBy("label", "doc_id").agg(F.min("fp").alias("fp")).select("doc_id", "fp")
+    # Only rows that share an id are fingerprinted again, to tell them apart.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    shared = docs.join(ids.where("n > 1"), "doc_id", "left_semi").withColumn("fp", fingerprint_of("text")).join(stay, ["doc_id", "fp"], "left_semi")
+    chosen = shared.groupBy("doc_id", "fp").agg(F.min(F.struct("text", *others)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    return alone.unionByName(chosen).unionByName(docs.where("doc_id is null"))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillsift.llm.common import checkpointed, text_bytes
 from quillsift.llm.components import connected_components
@@ -160,6 +161,26 @@ def links(nodes: DataFrame) -> DataFrame:
     return rows.repartition(count, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").mapInPandas(_link, "u long, v long")
 
 
+@F.pandas_udf(T.LongType())
+def fingerprint_of(texts: pd.Series) -> pd.Series:
+    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+
+
+def members(documents: DataFrame) -> DataFrame:
+    """doc_id, fp, label and component_id of every row; the label, a fingerprint, names the component also where ids don't."""
+    fps = checkpointed(fingerprints(documents))  # 20 bytes a document
+    # A fingerprint is its own node: ids of any sign, or none, only meet after the labelling.
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = connected_components(links(nodes.select("fp", F.col("fp").alias("node"))))
+    linked = labels.join(nodes, F.col("node") == F.col("fp")).select(F.col("fp").alias("linked"), "label", "least")
+    least = linked.groupBy(F.col("label").alias("of_label")).agg(F.min("least").alias("component"))
+    linked = linked.join(least, F.col("label") == F.col("of_label")).select("linked", "label", "component")
+    of_fp = nodes.join(linked, F.col("fp") == F.col("linked"), "left").select(
+        F.col("fp").alias("of_fp"), F.coalesce("label", "fp").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id")
+    )
+    return fps.join(of_fp, F.col("fp") == F.col("of_fp"), "left").select("doc_id", "fp", "label", "component_id")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``documents`` (doc_id, text).
 
@@ -167,14 +188,4 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     kept, with the smallest id of their component, or null where no member has one. Repeated rows get
     equal results. An empty table gives an empty result. Further columns are ignored.
     """
-    fps = checkpointed(fingerprints(documents))  # 20 bytes a document
-    # Fingerprints that only rows without id have take part under a negative stand-in.
-    node = F.coalesce(F.min("doc_id"), -1 - F.pmod(F.col("fp"), F.lit((1 << 62) - 1)))
-    nodes = checkpointed(fps.groupBy("fp").agg(node.alias("node")))
-    labels = connected_components(links(nodes))
-    of_fp = nodes.join(labels.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(
-        F.col("fp").alias("of_fp"), F.coalesce("label", "node").alias("component")
-    )
-    return fps.join(of_fp, F.col("fp") == F.col("of_fp"), "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") >= 0, F.col("component")).alias("component_id")
-    )
+    return members(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

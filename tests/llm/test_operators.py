@@ -175,6 +175,35 @@ def test_near_duplicates(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def near_texts(seed):
+    """Two texts whose fingerprints differ in 1 to 3 bits."""
+    rnd = random.Random(seed)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    a = " ".join(words)
+    near = (" ".join([*words, f"x{k}"]) for k in range(1000))
+    return a, next(b for b in near if 1 <= (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() <= 3)
+
+
+def test_components_keep_ids_beside_rows_without_and_below_zero(spark):
+    (a, b), (c, d), (e, f) = near_texts(1), near_texts(2), near_texts(3)
+    data = [(7, a), (9, a), (None, b), (-5, c), (3, d), (None, e), (None, f)]
+    got = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=key) == sorted([(7, 7), (9, 7), (None, 7), (-5, -5), (3, -5), (None, None), (None, None)], key=key)
+
+
+def test_pipeline_keeps_a_row_of_every_group(spark):
+    import corpus_pipeline
+
+    (a, b), (c, d), (e, _) = near_texts(1), near_texts(2), near_texts(3)
+    data = [(7, a, 1), (9, a, 1), (None, b, 1), (-5, c, 1), (3, d, 1), (20, e, 1), (20, "quite another text", 1), (30, "a text twice", 1), (30, "a text twice", 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.remove_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    want = [(7, a), (None, b), (-5, c), (20, e), (20, "quite another text"), (30, "a text twice")]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted((str(i), t) for i, t in want)
+
+
 def test_bit_sliced_comparison_in_chunks(spark, monkeypatch):
     rnd = random.Random(4)
     centre = rnd.getrandbits(63)
