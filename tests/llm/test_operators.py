@@ -79,6 +79,18 @@ def test_toxicity_learns_and_counterfactuals_hold_group_mentions():
     assert toxicity.counterfactual([b"plain"]) is None
 
 
+def test_counterfactuals_hold_group_mentions_with_the_defaults_of_the_query():
+    rnd = random.Random(1)
+    data = [(sentence(rnd, ["vilewort", "muslim"] if i % 3 else ["vilewort"]), 1) if i % 2 else (sentence(rnd, ["christian"] if i % 3 else ()), 0) for i in range(2000)]
+    words = [toxicity.tokens(t) for t, _ in data]
+    own = [toxicity.features(w).tobytes() for w in words]
+    twins = [(i, toxicity.features(c).tobytes()) for i, w in enumerate(words) if (c := toxicity.counterfactual(w))]
+    labels = np.array([y for _, y in data], float)
+    held, free = toxicity.fit_rows(own, twins, labels), toxicity.fit_rows(own, [], labels)
+    gap = lambda m: abs(m.raw([b"a", b"muslim", b"here"]) - m.raw([b"a", b"jewish", b"here"]))
+    assert gap(held) < gap(free) and held.score("a vilewort again") > 0.5
+
+
 def test_toxicity_query(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, 0, int(i % 5 == 1)) for i in range(60)] + [(None, 1, 1), (3, None, None), (7, 0, 0)], "doc_id long, quality int, toxic int")
     got = table(toxicity.toxicity(docs, labels))
