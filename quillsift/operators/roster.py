@@ -17,6 +17,7 @@ DOMAIN_LOOKALIKES = {"m": "(?:m|rn)", "d": "(?:d|cl)", "w": "(?:w|vv)", "l": "[l
 SPACE = r"\t\n\v\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 BETWEEN = rf"[{SPACE}.,_\-]*"
 TEACHER = "teacher"
+MOST_STUDENTS = 500
 FLAGS = regex.V0
 
 
@@ -99,6 +100,8 @@ class Roster:
         people = self.people
         if not any(p.student_id for p in people):
             raise ValueError("the roster needs at least one student")
+        if sum(p.student_id is not None for p in people) > MOST_STUDENTS:
+            raise ValueError(f"the roster has more than {MOST_STUDENTS} students")
         shouted = lambda names: [v for n in names for v in (n, n.upper())]
         parts = [n for p in people for n in (p.first, p.last)]
         domains = list(dict.fromkeys(p.domain for p in people))

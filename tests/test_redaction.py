@@ -117,6 +117,12 @@ def test_empty_roster_is_refused():
         Roster((Person("A", "B", "a@b.c"),))
 
 
+def test_too_large_roster_is_refused():
+    people = [Person("Ana", f"Q{chr(97 + i % 26)}{chr(97 + i // 26)}", f"s{i}@northvale.edu", str(7000000 + i)) for i in range(501)]
+    with pytest.raises(ValueError):
+        Roster(tuple(people))
+
+
 def test_steps_through_spark(spark):
     from quillsift.operators.leaks import leaks
     from quillsift.operators.redaction import redacted
