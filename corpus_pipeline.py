@@ -34,13 +34,17 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = members(docs).where("doc_id is not null")
     first = F.col("doc_id") == F.col("component_id")
     ids = checkpointed(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("stays")).where("stays").select("doc_id", "n"))
-    alone = docs.join(ids.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
+    alone = docs.join(ids.where("n = 1"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    repeated = ids.where("n > 1")
+    if repeated.isEmpty():
+        return alone
     stay = found.where(first).groupBy("label", "doc_id").agg(F.min("fp").alias("fp")).select("doc_id", "fp")
     # Only rows that share an id are fingerprinted again, to tell them apart.
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    shared = docs.join(ids.where("n > 1"), "doc_id", "left_semi").withColumn("fp", fingerprint_of("text")).join(stay, ["doc_id", "fp"], "left_semi")
+    shared = checkpointed(docs.join(repeated, "doc_id", "left_semi"))  # else the fingerprints may move below this join
+    shared = shared.withColumn("fp", fingerprint_of("text")).join(stay, ["doc_id", "fp"], "left_semi")
     chosen = shared.groupBy("doc_id", "fp").agg(F.min(F.struct("text", *others)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
-    return alone.unionByName(chosen).unionByName(docs.where("doc_id is null"))
+    return alone.unionByName(chosen)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
