@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import zlib
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,13 +34,70 @@ def doc_remainder(column: str, modulus: int) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; only where none is named (local tests) a temporary one is set."""
+    """The shared folder that the session names (spark.checkpoint.dir). Only a local session, which has one machine, gets one where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillsift-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if named is None:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="quillsift-")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+#: What a worker remembers between partitions: one memory only, that of the operator that ran last.
+_HELD: dict[object, object] = {}
+
+
+def worker_memory[M](key: object, make: Callable[[], M]) -> M:
+    """The memory of ``key`` in this worker. Asking for another one drops it, so that memories of several stages never add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: a reused worker otherwise keeps the peak of all its partitions."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy[F: Callable](run: F) -> F:
+    """``run``, a function of one to three arguments over frames, giving memory back when it is done."""
+
+    def done(out):
+        if isinstance(out, Iterator):
+            return _after(out)
+        give_back()
+        return out
+
+    # The engine counts the arguments of a function, so that they are spelled out.
+    match run.__code__.co_argcount:
+        case 1:
+            return wraps(run)(lambda a: done(run(a)))
+        case 2:
+            return wraps(run)(lambda a, b: done(run(a, b)))
+        case _:
+            return wraps(run)(lambda a, b, c: done(run(a, b, c)))
+
+
+def _after(frames: Iterator) -> Iterator:
+    try:
+        yield from frames
+    finally:
+        give_back()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     checkpoint_folder(df.sparkSession)
@@ -45,17 +105,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash, remembered per worker; emptied when it grows beyond ``limit`` words."""
+    """Word -> 64-bit hash; emptied when it holds more than ``limit`` bytes."""
+
+    #: Bytes that an entry takes beside its word.
+    ENTRY = 180
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 32 << 20):
         super().__init__()
-        self.limit = limit
+        self.limit, self.held = limit, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
         value = (zlib.crc32(word) << 32 | zlib.crc32(word, 0x9E3779B9)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
         value ^= value >> 29
+        if self.held > self.limit:
+            self.clear()
+            self.held = 0
+        self.held += self.ENTRY + len(word)
         self[word] = value
         return value
 
@@ -63,6 +128,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
+def word_hashes() -> WordHashes:
+    return worker_memory("word hashes", WordHashes)
+
+
 def sparse_rows(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """uint32 blobs, one a row, as CSR (indices, row starts)."""
     starts = np.zeros(len(blobs) + 1, np.int64)

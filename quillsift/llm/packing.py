@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import checkpointed, text_bytes
+from quillsift.llm.common import checkpointed, text_bytes, tidy, worker_memory
 
 CAPACITY = 4096
 END_ID = 1
@@ -48,16 +48,20 @@ class WordTokens(dict):
     """Word -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words.
-    Words in use stay in memory: when ``limit`` new ones have come, those not used since the last time
-    are forgotten. A word of Latin letters goes to the merges directly; normalising it is lower-casing.
+    Words in use stay in memory: when ``limit`` bytes of new ones have come, those not used since the last
+    time are forgotten, so that two times ``limit`` is the most. A word of Latin letters goes to the merges directly; normalising it is lower-casing.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    #: Bytes that an entry takes beside its word and its ids.
+    ENTRY = 180
+
+    def __init__(self, path: str, limit: int = 24 << 20):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.older = Tokenizer.from_file(path), limit, {}
+        self.held = 0
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
@@ -70,24 +74,24 @@ class WordTokens(dict):
                 ids = self[word[:-1]] + self[word[-1:]]
             else:
                 ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.held += self.ENTRY + len(word) + len(ids)
         self[word] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, text_bytes(text).split()))
-
-
-_TOKENS: dict[str, WordTokens] = {}
+        words = text_bytes(text).split()
+        out = []
+        for begin in range(0, len(words), 65536):  # also within a text of any length
+            if self.held > self.limit:
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
+            out.append(b"".join(map(self.__getitem__, words[begin : begin + 65536])))
+        return b"".join(out)
 
 
 def word_tokens(path: str) -> WordTokens:
-    """One memory a worker and tokenizer."""
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
+    return worker_memory(("word tokens", path), lambda: WordTokens(path))
 
 
 def pieces_of(text: str | None, tokens: WordTokens, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
@@ -182,6 +186,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = word_tokens(tokenizer)
         for frame in frames:
@@ -203,6 +208,7 @@ def best_fit_pack(documents: DataFrame, tokenizer: str | None = None, capacity:
     """
 
     def packer(level: int):
+        @tidy
         def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
             lengths = frame["length"].to_numpy(np.int64)

@@ -17,14 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import WordHashes, doc_remainder, labelled_sample, row_sums, sparse_rows, text_bytes
+from quillsift.llm.common import doc_remainder, labelled_sample, row_sums, sparse_rows, text_bytes, tidy, word_hashes
 
 BITS = 16
 #: Labelled rows that the classifier is fitted on, at most (in expectation).
 SAMPLE_ROWS = 8_000
 FOLDS, HELD = 3, 1
 
-_HASHES = WordHashes()
 _SEEN = np.zeros(1 << BITS, bool)
 _SHIFT = np.uint32(32 - BITS)
 
@@ -49,7 +48,7 @@ def features(text: str | None) -> np.ndarray:
     """Sorted distinct indices of a text's indicators."""
     raw = text_bytes(text)
     words = raw.split()
-    _SEEN[_HASHES.array(words) >> np.uint64(64 - BITS)] = True
+    _SEEN[word_hashes().array(words) >> np.uint64(64 - BITS)] = True
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
     code = b
     for n in (2, 3):
@@ -155,6 +154,7 @@ def fit_rows(rows: list[bytes], labels: np.ndarray, cost: float = 1.0, mix: floa
     return QualityModel(*train(np.arange(n)), slope, shift)
 
 
+@tidy
 def _featurise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         yield pd.DataFrame({"doc_id": frame["doc_id"].array, "label": frame["label"].array, "own": [features(t).tobytes() for t in frame["text"]]})
@@ -175,6 +175,7 @@ def quality(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -
     """
     model = fit(documents, labels, bound)
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "score": np.array([model.score(t) for t in frame["text"]], np.float64)})

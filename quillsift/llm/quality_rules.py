@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.llm.common import checkpointed, text_bytes
+from quillsift.llm.common import checkpointed, text_bytes, tidy
 
 PRECISION = 6
 #: Ratios per 1000, of which a document must not be above the cutoff.
@@ -79,6 +79,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
     )
 
 
+@tidy
 def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         counts = [base_counts(t) for t in frame["text"]]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.llm.common import checkpointed, text_bytes
+from quillsift.llm.common import checkpointed, text_bytes, tidy
 from quillsift.llm.components import connected_components
 
 RADIUS = 3
@@ -43,6 +43,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "fp": np.array([fingerprint(t) for t in frame["text"]], np.int64)})
@@ -114,6 +115,7 @@ def spanning_links(fps: np.ndarray, nodes: np.ndarray, cell: np.ndarray, side: n
     return out
 
 
+@tidy
 def _link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by cell; a cell that the batch may have cut waits for the next one."""
     kept: pd.DataFrame | None = None

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.llm.common import text_bytes
+from quillsift.llm.common import text_bytes, tidy
 from quillsift.llm.suffix_sort import prefix_names
 
 WIDTH = 50
 GRAM = 20
 LEFT = WIDTH - GRAM
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 CHUNK_BYTES = 96 << 10
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -167,6 +167,7 @@ SUFFIX = np.dtype([("id", "<i8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")
 
 
 def send_keys(buckets: int):
+    @tidy
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         group = Group(frame)
         places, keys, _ = group.anchors()
@@ -177,6 +178,7 @@ def send_keys(buckets: int):
     return run
 
 
+@tidy
 def answer_shared(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     lengths = [len(a) // 4 for a in frame["a"]]
     codes = _joined(frame["a"], "<u4")
@@ -192,6 +194,7 @@ def answer_shared(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def send_contexts(buckets: int):
+    @tidy
     def run(key: tuple, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return _rows([])
@@ -243,6 +246,7 @@ def later_in_run(rows: np.ndarray) -> np.ndarray:
     return rows["id"] > _extent(_runs(rows, "key", "around"), rows["id"])[0]
 
 
+@tidy
 def give_verdicts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     own, passed = _of(frame, 0), _of(frame, 2)
     out = [(int(g), int(key[0]), 2, a) for g, a in zip(passed["g"], passed["a"], strict=True)]
@@ -266,6 +270,7 @@ def give_verdicts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return _rows(out)
 
 
+@tidy
 def send_suffixes(key: tuple, frame: pd.DataFrame, verdicts: pd.DataFrame) -> pd.DataFrame:
     if not len(frame) or not len(verdicts):
         return _rows([])
@@ -302,6 +307,7 @@ def repeated_strings(rows: np.ndarray) -> np.ndarray:
     return mask
 
 
+@tidy
 def settle_strings(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     rows = _joined(frame["a"], SUFFIX)
     mask, out, at = repeated_strings(rows), [], 0
@@ -327,6 +333,7 @@ def merged_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
 def cut_out(texts: bool, carry: list[str]):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * texts
 
+    @tidy
     def run(key: tuple, frame: pd.DataFrame, settled: pd.DataFrame) -> pd.DataFrame:
         group = Group(frame) if len(frame) else None
         if group is None:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import text_bytes
+from quillsift.llm.common import text_bytes, tidy, worker_memory
 
 MARK = "▁"
 #: A byte of a character that no piece covers.
@@ -114,9 +114,6 @@ class ForwardTrie:
         return sum(map(known.__getitem__, words))
 
 
-_TRIES: dict[str, ForwardTrie] = {}
-
-
 def token_counts(documents: DataFrame, pieces: str | None = None) -> DataFrame:
     """doc_id, n_words and n_tokens of every row of ``documents``.
 
@@ -126,10 +123,9 @@ def token_counts(documents: DataFrame, pieces: str | None = None) -> DataFrame:
     """
     path = pieces or default_pieces()
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _TRIES:
-            _TRIES[path] = ForwardTrie(piece_scores(path))
-        trie = _TRIES[path]
+        trie = worker_memory(("forward trie", path), lambda: ForwardTrie(piece_scores(path)))
         for frame in frames:
             split = [text_bytes(t).split() for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "n_words": [len(w) for w in split], "n_tokens": [trie.text_count(w) for w in split]})

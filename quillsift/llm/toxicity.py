@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import WordHashes, doc_remainder, labelled_sample, row_sums, sparse_rows, text_bytes
+from quillsift.llm.common import doc_remainder, labelled_sample, row_sums, sparse_rows, text_bytes, tidy, word_hashes
 
 BITS = 20
 #: Labelled rows that the classifier is fitted on, at most (in expectation).
@@ -46,7 +46,6 @@ IDENTITY_GROUPS = (
 _GROUP_OF = {t.encode(): tuple(x.encode() for x in g) for g in IDENTITY_GROUPS for t in g}
 
 _SPACE_PUNCTUATION = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
-_HASHES = WordHashes()
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -56,7 +55,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 def codes(words: list[bytes]) -> np.ndarray:
     """Indices of the hashed words, adjacent pairs and 5-byte runs (white space at word ends included), repeats and all."""
-    h = _HASHES.array(words)
+    h = word_hashes().array(words)
     pair = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + (h[1:] ^ np.uint64(0x165667B19E3779F9)) * np.uint64(0x9E3779B185EBCA87)
     run = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint64)
     for n in range(1, 5):
@@ -160,6 +159,7 @@ def fit_rows(rows: list[bytes], twins: list[tuple[int, bytes]], labels: np.ndarr
     return ToxicityModel(full, bias)
 
 
+@tidy
 def _featurise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
@@ -182,6 +182,7 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """All columns of ``documents`` but an earlier score, with score and predicted."""
     schema = documents.select("doc_id").schema.add("score", "double")
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "score": np.array([model.score(t) for t in frame["text"]], np.float64)})
@@ -192,6 +193,7 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 def drop_toxic(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of ``documents``, all columns, that score under 0.5."""
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame[[model.score(t) < 0.5 for t in frame["text"]]]

@@ -93,3 +93,60 @@ def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder[0]).toPandas()
     assert len(got) > 50 and (got.groupby("sequence_id")["length"].sum() <= 4096).all()
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "suffix_array_dedup", "mixing", "packing"]
+
+
+def test_stages_on_rough_tables(spark, folder):
+    """Null and repeated ids, null, empty and very long texts, ties, and columns whose names the stages use themselves."""
+    path, _ = folder
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copy int, copies string, mixed_id int, fp string, had_text string, turn int, row string, size string"
+    more = (77, "own", 5, "fp", "had", 9, "row", "size")
+    rnd = random.Random(5)
+    long = " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(30_000))
+    word = lambda n: " ".join("".join(rnd.choices("klmnopqr", k=6)) for _ in range(n))
+    same = word(40)
+    rows = [(None, word(30)), (None, None), (1, None), (2, ""), (3, long), (4, word(40)), (4, word(40)), (5, same), (5, same), (6, same), (-7, word(25)), (8, "x")]
+    rows = [(i, t, None if k % 2 else "en", [None, "a"][k % 2], len(t or ""), *more) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, schema).coalesce(2)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, docs.limit(0), path).collect() == []
+        got = stages[name](spark, docs, path)
+        assert got.columns == docs.columns
+        got = [tuple(r) for r in got.collect()]
+        assert all(r[5:] == more for r in got)
+        if name == "toxicity":
+            assert Counter(got) == Counter(rows)
+        elif name == "simhash_near_dedup":
+            kept = Counter((r[0], r[1]) for r in got)
+            assert kept[(5, same)] == 1 and (6, same) not in kept  # of a group one row of the smallest id
+            assert kept[(1, None)] + kept[(2, "")] == 1 and sum(i == 4 for i, _ in kept) == 2
+            assert kept[(None, rows[0][1])] == 1 and kept[(3, long)] == 1 and kept[(-7, rows[10][1])] == 1
+        elif name == "suffix_array_dedup":
+            left = [(r[0], r[1]) for r in got]
+            assert left.count((5, same)) == 2 and not any(i == 6 for i, _ in left)  # nothing is left of the copy under a larger id
+            assert {(None, rows[0][1]), (None, None), (1, None), (2, ""), (3, long)} <= set(left)
+        else:
+            times = Counter((r[0], r[1]) for r in got)
+            assert times[(None, rows[0][1])] == 1 and times[(None, None)] == 1
+            assert max(times.values()) <= 6 and set(got) <= set(rows)  # three times each of two equal rows
+            words, want = Counter(), Counter()
+            for r in rows:
+                if r[0] is not None:
+                    want[r[3]] += len(WORD.findall(r[1] or ""))
+            for r in got:
+                if r[0] is not None:
+                    words[r[3]] += len(WORD.findall(r[1] or ""))
+            target = plain_targets(want)
+            assert all(abs(words[s] - target[s]) <= 40 if s is not None else words[s] <= 3 * want[s] for s in want)
+    packed = stages["packing"](spark, docs, path)
+    assert packed.where("length = 1").count() == 3 and stages["packing"](spark, docs.limit(0), path).collect() == []
+
+
+def test_run_deletes_what_is_read(spark, folder):
+    import pathlib
+
+    base = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(base.glob("pipeline-*"))
+    corpus_pipeline.run(spark, folder[0]).count()
+    (new,) = set(base.glob("pipeline-*")) - before
+    assert [p.name for p in new.iterdir()] == ["3-mixing"]
