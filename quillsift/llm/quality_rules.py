@@ -4,10 +4,9 @@ The sketch of a group is a log-linear histogram: a non-negative integer falls in
 keeps its top ``PRECISION`` bits, so a bucket's lower bound is within 1/32 of every member. Sketches
 merge by adding counts, which a partial aggregation does before the shuffle; a group of any size ends
 as some hundred buckets a feature. Cutoffs are read from a group's own sketch mixed with the sketch of
-all documents (``PRIOR`` rows' worth), so that small groups lean on the whole.
-
-``quality_rules`` is held against SQL, whose cutoffs are three times the upper quartile and never under
-fixed floors. ``adaptive_rules`` takes every cutoff from the tail of the mixed sketch alone.
+all documents (``PRIOR`` rows' worth), so that small groups lean on the whole. A cutoff is a fence: the
+quantile at HIGH, plus REACH times its distance from the one at MIDDLE. No constant stands under it: where
+nine in ten documents of a group have nothing of a kind, any share of it is out of line there.
 """
 
 from __future__ import annotations
@@ -25,13 +24,9 @@ from quillsift.llm.common import checkpointed, text_bytes, tidy
 PRECISION = 6
 #: Ratios per 1000, of which a document must not be above the cutoff.
 RATIOS = ("symbol_permille", "dup_line_permille", "repeat_permille", "word_length_permille")
-#: The cutoff is the quantile at this per mille, times SLACK, and never under FLOOR.
-QUANTILE_PERMILLE = 750
-SLACK = 3
-FLOORS = {"symbol_permille": 50, "dup_line_permille": 300, "repeat_permille": 200, "word_length_permille": 15000}
+#: Per mille of the quantiles that a cutoff is made of, and how far it is beyond the higher one.
+HIGH, MIDDLE, REACH = 900, 500, 2
 PRIOR = 200
-#: Adaptive cutoffs are the quantile at this per mille: where most rows are 0, the tail still tells groups apart.
-TAIL_PERMILLE = 950
 
 BASE_SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())]
@@ -124,9 +119,8 @@ def bucket_end(start: Column) -> Column:
     return start + F.call_function("shiftleft", F.lit(1).cast("long"), drop) - 1
 
 
-def cutoffs(sketch: DataFrame, adaptive: bool = False) -> DataFrame:
-    """One row a (lang, source) with the cutoff of every ratio; ``adaptive``: from the sketches alone, no floors."""
-    permille = TAIL_PERMILLE if adaptive else QUANTILE_PERMILLE
+def cutoffs(sketch: DataFrame) -> DataFrame:
+    """One row a (lang, source) with the cutoff of every ratio."""
     whole = sketch.groupBy("feature", "bucket").agg(F.sum("n").alias("n_all"))
     total = whole.groupBy("feature").agg(F.sum("n_all").alias("n_total"))
     groups = sketch.select("lang", "source", "feature").distinct()
@@ -140,16 +134,15 @@ def cutoffs(sketch: DataFrame, adaptive: bool = False) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("b"), F.sum("w").alias("all_w"))
     )
     # A group has some hundred buckets, whatever its number of rows: the fold over them is bounded.
-    walk = F.aggregate(
-        "b",
-        F.struct(F.lit(0.0).alias("seen"), F.lit(-1).cast("long").alias("at")),
-        lambda s, x: F.struct(
-            (s["seen"] + x["w"]).alias("seen"),
-            F.when((s["at"] < 0) & ((s["seen"] + x["w"]) * 1000 >= F.col("all_w") * permille - 1e-6), x["bucket"]).otherwise(s["at"]).alias("at"),
-        ),
-    )
-    floor = F.create_map(*[F.lit(v) for kv in FLOORS.items() for v in kv])
-    cut = bucket_end(walk["at"]) if adaptive else F.greatest(walk["at"] * SLACK, floor[F.col("feature")].cast("long"))
+    nowhere = F.lit(-1).cast("long")
+
+    def step(s: Column, x: Column) -> Column:
+        seen = s["seen"] + x["w"]
+        reached = lambda at, permille: F.when((at < 0) & (seen * 1000 >= F.col("all_w") * permille - 1e-6), bucket_end(x["bucket"])).otherwise(at)
+        return F.struct(seen.alias("seen"), reached(s["middle"], MIDDLE).alias("middle"), reached(s["high"], HIGH).alias("high"))
+
+    walk = F.aggregate("b", F.struct(F.lit(0.0).alias("seen"), nowhere.alias("middle"), nowhere.alias("high")), step)
+    cut = walk["high"] + REACH * (walk["high"] - walk["middle"])
     return (
         mixed.select("lang", "source", "feature", cut.alias("cut"))
         .groupBy("lang", "source")
@@ -166,20 +159,12 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     of their own. Repeated rows are judged each by itself; ties with a cutoff are kept. An empty table
     gives an empty result. Further columns of ``documents`` are ignored.
     """
-    return _judged(documents, adaptive=False)
-
-
-def adaptive_rules(documents: DataFrame) -> DataFrame:
-    """As ``quality_rules``, with cutoffs from the sketches alone: a ratio rejects about 5 % of a large group at most."""
-    return _judged(documents, adaptive=True)
-
-
-def _judged(documents: DataFrame, adaptive: bool) -> DataFrame:
     rows = checkpointed(measured(documents))  # some 100 bytes a document; read for the sketches and again for the verdict
-    cuts = cutoffs(sketches(rows), adaptive).withColumnsRenamed({"lang": "cut_lang", "source": "cut_source"})
+    cuts = cutoffs(sketches(rows)).withColumnsRenamed({"lang": "cut_lang", "source": "cut_source"})
     within = F.lit(True)
     for ratio in RATIOS:
         within &= F.coalesce(F.col(ratio) <= F.col(f"{ratio}_cut"), F.lit(False))
+    names = [f"{r}_cut" for r in RATIOS]
     return rows.join(cuts, F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source")), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"), *names
     )

@@ -12,7 +12,7 @@ from quillsift.llm.lm_scoring import lm_scores
 from quillsift.llm.mixing import mix
 from quillsift.llm.packing import best_fit_pack
 from quillsift.llm.quality_classifier import quality
-from quillsift.llm.quality_rules import adaptive_rules, quality_rules
+from quillsift.llm.quality_rules import HIGH, MIDDLE, PRIOR, REACH, quality_rules
 from quillsift.llm.simhash import near_duplicates
 from quillsift.llm.suffix_dedup import suffix_dedup
 from quillsift.llm.token_counts import token_counts
@@ -27,10 +27,6 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-def op2_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adaptive_rules(table(spark, sf_dir, "documents"))
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,7 +62,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
-    "op2_adaptive_rules": op2_adaptive_rules,
     "op3_simhash": op3_simhash,
     "op4_impact_search": op4_impact_search,
     "op5_lm_scoring": op5_lm_scoring,
@@ -79,14 +74,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _INK = "[^\\x20\\x09-\\x0D]"
 _RATIOS = {
-    "symbol_permille": ("n_symbols", "word_chars", 50),
-    "dup_line_permille": ("n_dup_lines", "n_lines", 300),
-    "repeat_permille": ("n_repeat_words", "n_words", 200),
-    "word_length_permille": ("word_chars", "n_words", 15000),
+    "symbol_permille": ("n_symbols", "word_chars"),
+    "dup_line_permille": ("n_dup_lines", "n_lines"),
+    "repeat_permille": ("n_repeat_words", "n_words"),
+    "word_length_permille": ("word_chars", "n_words"),
 }
-_PER = ", ".join(f"CASE WHEN {w} > 0 THEN 1000 * {p} // {w} ELSE 0 END AS {r}" for r, (p, w, _) in _RATIOS.items())
+_PER = ", ".join(f"CASE WHEN {w} > 0 THEN 1000 * {p} // {w} ELSE 0 END AS {r}" for r, (p, w) in _RATIOS.items())
 _LONG = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS feature, ({r} >> d) << d AS bucket FROM (SELECT *, greatest(length(bin({r})) - 6, 0) AS d FROM rated WHERE NOT base_failed)" for r in _RATIOS)
-_CUTS = ", ".join(f"max(CASE WHEN feature = '{r}' THEN greatest(3 * lowest, {f}) END) AS {r}_cut" for r, (_, _, f) in _RATIOS.items())
+_CUTS = ", ".join(f"CAST(max(CASE WHEN feature = '{r}' THEN high + {REACH} * (high - middle) END) AS BIGINT) AS {r}_cut" for r in _RATIOS)
+_CUT_NAMES = ", ".join(f"{r}_cut" for r in _RATIOS)
 _WITHIN = " AND ".join(f"coalesce({r} <= {r}_cut, false)" for r in _RATIOS)
 
 SQL: dict[str, str] = {
@@ -116,14 +112,19 @@ WITH split AS (
 ), mixed AS (
   SELECT lang, source, feature, bucket, sum(w) AS w FROM (
     SELECT lang, source, feature, bucket, CAST(n AS DOUBLE) AS w FROM sketch
-    UNION ALL SELECT lang, source, feature, bucket, 200.0 * CAST(n_all AS DOUBLE) / CAST(n_total AS DOUBLE) FROM (SELECT DISTINCT lang, source, feature FROM sketch) JOIN whole USING (feature)
+    UNION ALL SELECT lang, source, feature, bucket, {PRIOR}.0 * CAST(n_all AS DOUBLE) / CAST(n_total AS DOUBLE) FROM (SELECT DISTINCT lang, source, feature FROM sketch) JOIN whole USING (feature)
   ) GROUP BY ALL
 ), walk AS (
   SELECT *, sum(w) OVER (PARTITION BY lang, source, feature ORDER BY bucket) AS seen, sum(w) OVER (PARTITION BY lang, source, feature) AS all_w FROM mixed
+), ends AS (
+  SELECT lang, source, feature, seen, all_w, bucket + (1 << greatest(length(bin(bucket)) - 6, 0)) - 1 AS last FROM walk
+), levels AS (
+  SELECT lang, source, feature, min(last) FILTER (seen * 1000 >= all_w * {MIDDLE} - 1e-6) AS middle, min(last) FILTER (seen * 1000 >= all_w * {HIGH} - 1e-6) AS high
+  FROM ends GROUP BY ALL
 ), cuts AS (
-  SELECT lang, source, {_CUTS} FROM (SELECT lang, source, feature, min(bucket) AS lowest FROM walk WHERE seen * 1000 >= all_w * 750 - 1e-6 GROUP BY ALL) GROUP BY lang, source
+  SELECT lang, source, {_CUTS} FROM levels GROUP BY lang, source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_WITHIN} AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_WITHIN} AS kept, {_CUT_NAMES}
 FROM rated r LEFT JOIN cuts c ON r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source
 """,
     "op4_impact_search": """
