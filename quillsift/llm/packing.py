@@ -2,16 +2,18 @@
 
 Documents are tokenised word by word with a memory of words per worker, cut into pieces of at most the
 sequence length, and dealt by a hash into blocks of some thousand pieces. A block is packed best-fit
-(longest first), then improved: pieces of the emptiest sequence move into gaps, or are exchanged one for
-one or two for one with pieces of fuller sequences, each step raising the sum of squared fills, until the
-sequence is empty or no step is left. What sequences of all blocks remain underfull is packed again,
-many blocks together.
+(longest first). Where that leaves more sequences than the sum of lengths needs, they are improved: pieces
+of an underfull sequence move into gaps, or are exchanged one for one or two for one with pieces of other
+underfull sequences, each step raising the sum of squared fills, until sequences are empty. Where no step
+is left, some sequences are taken apart and the search goes on. What sequences of all blocks remain
+underfull is packed again, many blocks together.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,55 +125,117 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY, most_steps: int = 4000) -> list[list[int]]:
-    """Empties the emptiest bins by moves and exchanges that raise the sum of squared fills."""
-    of = np.zeros(len(lengths), np.int64)
-    for b, items in enumerate(bins):
-        of[items] = b
-    fill = np.bincount(of, weights=lengths, minlength=len(bins)).astype(np.int64)
-    alive = np.ones(len(bins), bool)
-    least = -(-int(lengths.sum()) // capacity)
-    steps = 0
-    while alive.sum() > least and steps < most_steps:
-        a = int(np.argmin(np.where(alive, fill, capacity + 1)))
-        changed = True
-        while fill[a] and changed and steps < most_steps:
-            changed = False
-            own = np.flatnonzero(of == a)
-            room = np.where(alive, capacity - fill, -1)
-            room[a] = -1
-            for x in own[np.argsort(-lengths[own], kind="stable")]:  # move into the tightest gap
-                fits = np.flatnonzero(room >= lengths[x])
-                if len(fits):
-                    b = fits[np.argmin(room[fits])]
-                    of[x] = b
-                    fill[a] -= lengths[x]
-                    fill[b] += lengths[x]
-                    room[b] -= lengths[x]
-                    changed, steps = True, steps + 1
-            if changed:
+class Swaps:
+    """Bins of items under moves and exchanges; every step raises the sum of squared fills."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.of = np.zeros(len(lengths), np.int64)
+        for b, items in enumerate(bins):
+            self.of[items] = b
+        self.fill = np.bincount(self.of, weights=lengths, minlength=len(bins)).astype(np.int64)
+        self.least = -(-int(lengths.sum()) // capacity)
+        self._refresh()
+
+    def used(self) -> int:
+        return int(np.count_nonzero(self.fill))
+
+    def _refresh(self) -> None:
+        """Only items of underfull bins can take part in a step."""
+        self.open_items = np.flatnonzero(self.fill[self.of] < self.capacity)
+
+    def best_step(self, a: int) -> tuple[int, list[int], int, int] | None:
+        """(gain, items that leave bin ``a``, the item that comes for them or -1, the other bin): the steepest step out of ``a``."""
+        others = self.open_items[self.of[self.open_items] != a]
+        own = np.flatnonzero(self.of == a)
+        if not len(own) or not len(others):
+            return None
+        own = own[np.unique(self.lengths[own], return_index=True)[1]]  # items of one length are as good as one another
+        twice = [int(np.flatnonzero((self.of == a) & (self.lengths == self.lengths[x]))[1]) for x in own if np.count_nonzero((self.of == a) & (self.lengths == self.lengths[x])) > 1]
+        bundles = [[int(x)] for x in own] + [[int(x), int(y)] for i, x in enumerate(own) for y in own[i + 1 :]] + [[int(x), y] for y in twice for x in own if self.lengths[x] == self.lengths[y]]
+        sums = np.array([self.lengths[x].sum() for x in bundles])
+        bins = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+        bins = bins[bins != a]
+        out, most = None, 0
+        # A bin that takes a bundle for nothing in return stands as an item of length 0.
+        given = np.concatenate([self.lengths[others], np.zeros(len(bins), np.int64)])
+        where = np.concatenate([self.of[others], bins])
+        room, full = self.capacity - self.fill[where], self.fill[where] - self.fill[a]
+        for begin in range(0, len(bundles), 64):
+            gain = sums[begin : begin + 64, None] - given
+            value = np.where((gain > 0) & (gain <= room), gain * (full + gain), 0)
+            k, y = divmod(int(value.argmax()), len(given))
+            if value[k, y] > most:
+                most = int(value[k, y])
+                out = int(gain[k, y]), bundles[begin + k], int(others[y]) if y < len(others) else -1, int(where[y])
+        return out
+
+    def climb(self, sources: list[int] | None = None) -> None:
+        """Steps out of the bins of ``sources`` (every underfull one, the emptiest first) and of those that a step changes, while there are any."""
+        if sources is None:
+            sources = [a for a in np.argsort(self.fill, kind="stable").tolist() if 0 < self.fill[a] < self.capacity]
+        waiting = deque(sources)
+        queued = set(sources)
+        while waiting and self.used() > self.least:
+            a = waiting.popleft()
+            queued.discard(a)
+            if not 0 < self.fill[a] < self.capacity or (step := self.best_step(a)) is None:
                 continue
-            bundles = [(int(x),) for x in own] + [(int(x), int(y)) for i, x in enumerate(own[:40]) for y in own[i + 1 : 40]]
-            best = (0, None, None)
-            for bundle in bundles:  # one for one, two for one
-                gain = int(lengths[list(bundle)].sum()) - lengths
-                ok = (gain > best[0]) & (gain <= room[of])
-                if ok.any():
-                    y = int(np.argmax(np.where(ok, gain, -1)))
-                    best = (int(gain[y]), bundle, y)
-            if best[1] is not None:
-                gain, bundle, y = best
-                b = of[y]
-                of[list(bundle)] = b
-                of[y] = a
-                fill[b] += gain
-                fill[a] -= gain
-                changed, steps = True, steps + 1
-        if fill[a]:
-            break  # no step is left that empties the emptiest bin
-        alive[a] = False
-    order = np.argsort(of, kind="stable")
-    cuts = np.flatnonzero(np.diff(of[order])) + 1
+            gain, leave, come, b = step
+            self.of[leave] = b
+            if come >= 0:
+                self.of[come] = a
+            self.fill[b] += gain
+            self.fill[a] -= gain
+            if not self.fill[a] or self.fill[b] == self.capacity:
+                self._refresh()
+            if a not in queued:
+                waiting.appendleft(a)
+                queued.add(a)
+            if b not in queued:
+                waiting.append(b)
+                queued.add(b)
+
+    def kick(self, random: np.random.Generator) -> None:
+        """Takes some underfull bins apart and puts their items back in chance order, each where it fits best."""
+        bins = np.flatnonzero((self.fill > 0) & (self.fill <= self.capacity))
+        weights = (self.capacity - self.fill[bins]) + self.capacity * 0.02
+        taken = random.choice(bins, min(len(bins), int(random.integers(2, 6))), replace=False, p=weights / weights.sum())
+        items = np.flatnonzero(np.isin(self.of, taken))
+        self.fill[taken] = 0
+        for x in random.permutation(items):
+            room = self.capacity - self.fill[taken]
+            fits = np.flatnonzero(room >= self.lengths[x])
+            if not len(fits):  # one bin more, to be emptied again
+                taken = np.append(taken, len(self.fill))
+                self.fill = np.append(self.fill, 0)
+                fits, room = np.array([len(taken) - 1]), self.capacity - self.fill[taken]
+            b = taken[fits[np.argmin(room[fits])]]
+            self.of[x] = b
+            self.fill[b] += self.lengths[x]
+        self._refresh()
+        self.climb(sorted((int(b) for b in taken if self.fill[b]), key=lambda b: int(self.fill[b])))
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY, kicks: int = 60, seed: int = 3) -> list[list[int]]:
+    """Fewer bins by steps that raise the sum of squared fills, and by kicks out of where no step is left.
+
+    After a kick the bins are as they were, unless it left fewer of them, or as many of no smaller squared
+    fill. The search ends at the lower bound, or after ``kicks`` in a row that did not take a bin away.
+    """
+    state = Swaps(bins, lengths, capacity)
+    state.climb()
+    random = np.random.default_rng(seed)
+    vain = 0
+    while state.used() > state.least and vain < kicks:
+        of, fill, used = state.of.copy(), state.fill.copy(), state.used()
+        state.kick(random)
+        vain = 0 if state.used() < used else vain + 1
+        if (state.used(), -int((state.fill**2).sum())) > (used, -int((fill**2).sum())):
+            state.of, state.fill = of, fill
+            state._refresh()
+    order = np.argsort(state.of, kind="stable")
+    cuts = np.flatnonzero(np.diff(state.of[order])) + 1
     return [part.tolist() for part in np.split(order, cuts) if len(part)]
 
 
