@@ -8,16 +8,15 @@ row into groups of GROUP_BYTES; the steps between them exchange arrays of number
 
 1. keys: every group sends the distinct hashes of its anchors (32 bits each within a bucket).
 2. shared: a bucket answers by one bit a hash whether more than one document has it.
-3. contexts: for shared anchors, a group sends the 64-bit gram hash and a hash of the context, the LEFT
-   bytes before and after it. Where the group has the same context in a smaller document, it is settled.
-4. verdicts: a bucket settles contexts that also stand in a smaller document of another group (all strings
-   around the anchor repeat), and asks for the bytes where one gram has several contexts.
-5. suffixes: groups send those contexts, as bytes. A bucket sorts them deep-shallow, from the anchor to
-   the right and from the anchor to the left, names equal prefixes of each length, and finds the smallest
-   document of each string as a pair of names.
-6. The groups mark what is settled and cut it out.
-
-Hashes select and group; a wrong removal would take two 64-bit collisions at once.
+3. suffixes: of shared anchors, a group sorts the contexts, deep-shallow: the bytes of the strings that have
+   the anchor. Of equal contexts the one in the smallest document goes on, as bytes, to a bucket; in larger
+   documents of the group, all its strings are settled.
+4. strings: a bucket sorts the contexts of all groups deep-shallow, from the anchor to the right and from the
+   anchor to the left, names equal prefixes of each length, and finds the smallest document of each string
+   as a pair of names.
+5. The groups mark what is settled and cut it out.
+
+Hashes only select what may repeat; bytes go where sorting found the same bytes.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillsift.llm.common import text_bytes, tidy
-from quillsift.llm.suffix_sort import prefix_names
+from quillsift.llm.suffix_sort import ranges, deep_shallow_order, neighbour_prefixes, prefix_names
 
 WIDTH = 50
 GRAM = 20
@@ -41,7 +40,10 @@ GROUP_BYTES = 8 << 20
 CHUNK_BYTES = 96 << 10
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
-#: Rows between groups and buckets. kind 0: contexts; 1: shared bits; 2: settled anchors; 3: wanted contexts; 4: settled strings.
+#: Groups to a bucket: there are fewer buckets than groups, and fewer messages between them.
+SHARE = 2
+
+#: Rows between groups and buckets. kind 0: keys; 1: shared bits; 2: settled strings; 3: contexts.
 PART_SCHEMA = "g int, bucket int, kind int, a binary, b binary, c binary, d binary"
 DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 TEXT_SCHEMA = DIGEST_SCHEMA + ", kept string, spans array<bigint>"
@@ -96,9 +98,9 @@ class Group:
             yield begin, stop
             begin = stop
 
-    def anchors(self, contexts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions and gram hashes of all anchors, and, if asked for, the hashes of their contexts."""
-        places, keys, around = [], [], []
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Position and gram hash of every anchor, and how far before it the first and the last string start that have it."""
+        found = []
         for begin, stop in self._chunks():
             base, top = int(self.starts[begin]), int(self.ends[stop - 1])
             if top - base < WIDTH:
@@ -112,19 +114,15 @@ class Group:
             reach[LEFT : LEFT + len(least)] = least
             most = _sliding(reach, np.maximum)
             at = np.flatnonzero((most == h) & (most > 0))
-            places.append(at + base)
-            keys.append(h[at])
-            if contexts:
-                start = np.repeat(self.starts[begin:stop] - base, sizes)[at]
-                last = end[at] - GRAM
-                left, right = np.minimum(at - start, LEFT), np.minimum(last - at, LEFT)
-                c = (left * (LEFT + 1) + right).astype(np.uint64)
-                for tile in (np.maximum(at - 30, start), np.maximum(at - 10, start), np.minimum(at + 10, last), np.minimum(at + 30, last)):
-                    c = (c ^ h[tile]) * _MIX[1]
-                    c ^= c >> np.uint64(32)
-                around.append(c)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return join(places, np.int64), join(keys, np.uint64), join(around, np.uint64)
+            own = h[at]
+            first, last = np.zeros(len(at), np.uint8), np.full(len(at), LEFT, np.uint8)
+            for before in range(LEFT + 1):  # ``reach`` at ``at + LEFT - before`` is the string that starts ``before`` bytes earlier
+                has = reach[at + (LEFT - before)] == own
+                first[has] = before
+                last[has & (last == LEFT)] = before
+            found.append((at + base, own, first, last))
+        kinds = (np.int64, np.uint64, np.uint8, np.uint8)
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind) for k, kind in enumerate(kinds))
 
     def document_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, "right") - 1 if len(places) else places
@@ -162,15 +160,15 @@ def _joined(blobs, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype)
 
 
-CONTEXT = np.dtype([("key", "<u8"), ("around", "<u8"), ("id", "<i8"), ("at", "<u4")])
-SUFFIX = np.dtype([("id", "<i8"), ("at", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (WIDTH + LEFT,))])
+#: A context: its document, the place of the anchor, and how far before that its first and its last string start.
+HEAD = np.dtype([("id", "<i8"), ("at", "<u4"), ("first", "u1"), ("last", "u1")])
 
 
 def send_keys(buckets: int):
     @tidy
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         group = Group(frame)
-        places, keys, _ = group.anchors()
+        places, keys, _, _ = group.anchors()
         codes, several, _ = group.distinct_codes(keys, places, buckets)
         small = codes.astype(np.uint32)
         return _rows([(int(key[0]), b, 0, small[i:j].tobytes(), np.packbits(several[i:j]).tobytes()) for b, i, j in _by_bucket(codes)])
@@ -193,13 +191,48 @@ def answer_shared(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return _rows(out)
 
 
-def send_contexts(buckets: int):
+def _least(run: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Smallest id of each row's run; runs are numbered from 0 and adjacent."""
+    if not len(run):
+        return ids
+    return np.minimum.reduceat(ids, np.flatnonzero(np.r_[True, run[1:] != run[:-1]]))[run]
+
+
+def all_strings(head: np.ndarray) -> np.ndarray:
+    """Mask of the strings of each context: bit k for the one that starts k bytes before the anchor."""
+    one = np.uint64(1)
+    return (((one << (head["first"].astype(np.uint64) + one)) - one) & ~((one << head["last"].astype(np.uint64)) - one)).astype(np.uint32)
+
+
+def context_matrix(text: np.ndarray, begin: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """A row a context, whose bytes begin at ``begin`` of ``text``: from the anchor to the right, from it to the left, and both lengths; zeros beyond."""
+    out = np.zeros((len(head), WIDTH + LEFT + 2), np.uint8)
+    first, last = head["first"].astype(np.int64), head["last"].astype(np.int64)
+    anchor = begin + first
+    for column in range(WIDTH):
+        has = np.flatnonzero(column < WIDTH - last)
+        out[has, column] = text[anchor[has] + column]
+    for column in range(LEFT):
+        has = np.flatnonzero(column < first)
+        out[has, WIDTH + column] = text[anchor[has] - 1 - column]
+    out[:, -2], out[:, -1] = head["first"], head["last"]
+    return out
+
+
+def equal_contexts(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted order of the contexts, the run of equal ones of each row in that order, and its common prefix with the row before."""
+    order = deep_shallow_order(matrix)
+    prefixes = neighbour_prefixes(matrix, order)
+    return order, np.cumsum(prefixes < matrix.shape[1]) - 1, prefixes
+
+
+def send_suffixes(buckets: int):
     @tidy
     def run(key: tuple, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return _rows([])
         g, group = int(key[0]), Group(frame)
-        places, keys, around = group.anchors(contexts=True)
+        places, keys, first, last = group.anchors()
         codes, _, member = group.distinct_codes(keys, places, buckets)
         bits = dict(zip(answers["bucket"], answers["a"], strict=True))
         shared = np.zeros(len(codes), bool)
@@ -207,115 +240,70 @@ def send_contexts(buckets: int):
             if b in bits:
                 shared[i:j] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=j - i).astype(bool)
         keep = shared[member] if len(member) else np.zeros(0, bool)
-        rows = np.zeros(int(keep.sum()), CONTEXT)
-        rows["key"], rows["around"], rows["at"] = keys[keep], around[keep], places[keep]
-        rows["id"] = group.ids[group.document_of(places[keep])]
-        rows = rows[np.lexsort((rows["at"], rows["around"], rows["key"]))]
-        settled = later_in_run(rows)
-        # Buckets take the settled places of a group along, so that one table goes on.
-        out = [(g, g % buckets, 2, rows["at"][settled].tobytes())] if settled.any() else []
-        rows = rows[~settled]
-        bucket = ((rows["key"] >> np.uint64(36)) % np.uint64(buckets)).astype(np.int64)
-        rows, bucket = rows[order := np.argsort(bucket, kind="stable")], bucket[order]
-        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(bucket)) + 1):
-            if len(part):
-                out.append((g, int(bucket[part[0]]), 0, rows[part].tobytes()))
+        bucket = (codes >> np.uint64(32)).astype(np.int64)[member[keep]]
+        head = np.zeros(len(bucket), HEAD)
+        head["at"], head["first"], head["last"] = places[keep], first[keep], last[keep]
+        head["id"] = group.ids[group.document_of(places[keep])]
+        by_bucket = np.argsort(bucket, kind="stable")
+        out, settled = [], [head[:0]]
+        for part in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
+            if not len(part):
+                continue
+            rows = head[part]
+            begin = rows["at"].astype(np.int64) - rows["first"]
+            order, run_of, _ = equal_contexts(context_matrix(group.array, begin, rows))
+            later = np.zeros(len(rows), bool)
+            later[order] = rows["id"][order] > _least(run_of, rows["id"][order])
+            settled.append(rows[later])
+            rows, begin = rows[~later], begin[~later]
+            sizes = WIDTH + rows["first"].astype(np.int64) - rows["last"]
+            out.append((g, int(bucket[part[0]]), 3, rows.tobytes(), group.array[ranges(begin, sizes)].tobytes()))
+        settled = np.concatenate(settled)
+        if len(settled):  # a bucket takes what a group settled by itself along, so that one table goes on
+            out.append((g, g % buckets, 2, settled["at"].astype("<u4").tobytes(), all_strings(settled).astype("<u4").tobytes()))
         return _rows(out)
 
     return run
 
 
-def _runs(rows: np.ndarray, *fields: str) -> np.ndarray:
-    """Number of the run of rows that are equal in the fields."""
-    fresh = np.zeros(len(rows), bool)
-    for f in fields:
-        fresh[1:] |= rows[f][1:] != rows[f][:-1]
-    return np.cumsum(fresh)
-
-
-def _extent(run: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest id of each row's run."""
-    if not len(run):
-        return ids, ids
-    begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    return np.minimum.reduceat(ids, begin)[run], np.maximum.reduceat(ids, begin)[run]
-
-
-def later_in_run(rows: np.ndarray) -> np.ndarray:
-    """Of rows sorted by key and context: whether a smaller id has the same."""
-    return rows["id"] > _extent(_runs(rows, "key", "around"), rows["id"])[0]
-
-
-@tidy
-def give_verdicts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    own, passed = _of(frame, 0), _of(frame, 2)
-    out = [(int(g), int(key[0]), 2, a) for g, a in zip(passed["g"], passed["a"], strict=True)]
-    rows = _joined(own["a"], CONTEXT)
-    g = np.repeat(own["g"].to_numpy(np.int64), [len(a) // CONTEXT.itemsize for a in own["a"]])
-    order = np.lexsort((rows["id"], rows["around"], rows["key"]))
-    rows, g = rows[order], g[order]
-    settled = later_in_run(rows)
-    of_key, of_context = _runs(rows, "key"), _runs(rows, "key", "around")
-    least, most = _extent(of_key, rows["id"])
-    first, last = _extent(of_key, of_context)
-    wanted = ~settled & (least != most) & (first != last)
-    for kind, mask in ((2, settled), (3, wanted)):
-        at, whose = rows["at"][mask], g[mask]
-        at = at[order := np.argsort(whose, kind="stable")]
-        whose = whose[order]
-        extra = rows["key"][mask][order]
-        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(whose)) + 1):
-            if len(part):
-                out.append((int(whose[part[0]]), int(key[0]), kind, at[part].tobytes(), *([extra[part].tobytes()] if kind == 3 else [])))
-    return _rows(out)
-
-
-@tidy
-def send_suffixes(key: tuple, frame: pd.DataFrame, verdicts: pd.DataFrame) -> pd.DataFrame:
-    if not len(frame) or not len(verdicts):
-        return _rows([])
-    group, out = Group(frame), []
-    padded = np.concatenate([np.zeros(LEFT, np.uint8), group.array, np.zeros(WIDTH, np.uint8)])
-    for bucket, blob in zip(verdicts["bucket"], verdicts["a"], strict=True):
-        at = np.frombuffer(blob, "<u4").astype(np.int64)
-        document = group.document_of(at)
-        rows = np.zeros(len(at), SUFFIX)
-        rows["id"], rows["at"] = group.ids[document], at
-        rows["left"] = np.minimum(at - group.starts[document], LEFT)
-        rows["right"] = np.minimum(group.ends[document] - GRAM - at, LEFT)
-        rows["bytes"] = padded[at[:, None] + np.arange(WIDTH + LEFT)]
-        out.append((int(key[0]), int(bucket), 4, rows.tobytes()))
-    return _rows(out)
-
-
-def repeated_strings(rows: np.ndarray) -> np.ndarray:
-    """Of each suffix row a mask: bit l if the string that starts l bytes before it stands in a smaller id too."""
-    mask = np.zeros(len(rows), np.uint32)
-    if len(rows) < 2:
+def repeated_strings(head: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Of each context the mask of its strings that stand in a smaller document too; ``text``: the bytes of the contexts, one after the other."""
+    mask = np.zeros(len(head), np.uint32)
+    if len(head) < 2:
         return mask
-    right = prefix_names(np.ascontiguousarray(rows["bytes"][:, LEFT:]), list(range(GRAM, WIDTH + 1)))
-    left = prefix_names(np.ascontiguousarray(rows["bytes"][:, :LEFT][:, ::-1]), list(range(LEFT + 1)), shallow=16)
+    sizes = WIDTH + head["first"].astype(np.int64) - head["last"]
+    matrix = context_matrix(text, np.cumsum(sizes) - sizes, head)
+    order, run, prefixes = equal_contexts(matrix)
+    least = _least(run, head["id"][order])
+    # Of equal contexts, those in larger documents go as a whole; one of each kind is looked at further.
+    kind = np.r_[True, run[1:] != run[:-1]]
+    one = order[kind]
+    kinds, ids, prefixes = head[one], least[kind], prefixes[kind]
+    left = prefix_names(np.ascontiguousarray(matrix[one, WIDTH : WIDTH + LEFT]), list(range(LEFT + 1)), shallow=16)
+    found = np.zeros(len(kinds), np.uint32)
     for before in range(LEFT + 1):
-        at = np.flatnonzero((rows["left"] >= before) & (rows["right"] >= LEFT - before))
+        at = np.flatnonzero((kinds["first"] >= before) & (kinds["last"] <= before))
         if len(at) < 2:
             continue
-        name = right[WIDTH - before][at] * (len(rows) + 1) + left[before][at]
-        order = np.argsort(name, kind="stable")
-        run = np.cumsum(np.r_[False, np.diff(name[order]) != 0])
-        ids = rows["id"][at[order]]
-        mask[at[order[ids > _extent(run, ids)[0]]]] |= np.uint32(1 << before)
+        name = np.cumsum(prefixes < WIDTH - before)[at] * (len(kinds) + 1) + left[before][at]
+        turn = np.argsort(name, kind="stable")
+        own = ids[at[turn]]
+        found[at[turn[own > _least(np.cumsum(np.r_[False, np.diff(name[turn]) != 0]), own)]]] |= np.uint32(1 << before)
+    mask[order] = np.where(head["id"][order] > least, all_strings(head[order]), found[run])
     return mask
 
 
 @tidy
 def settle_strings(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    rows = _joined(frame["a"], SUFFIX)
-    mask, out, at = repeated_strings(rows), [], 0
-    for g, blob in zip(frame["g"], frame["a"], strict=True):
-        n = len(blob) // SUFFIX.itemsize
-        hit = np.flatnonzero(mask[at : at + n])
+    passed, contexts = _of(frame, 2), _of(frame, 3)
+    out = [(int(g), int(key[0]), 2, a, b) for g, a, b in zip(passed["g"], passed["a"], passed["b"], strict=True)]
+    head = _joined(contexts["a"], HEAD)
+    mask, at = repeated_strings(head, _joined(contexts["b"], np.uint8)), 0
+    for g, blob in zip(contexts["g"], contexts["a"], strict=True):
+        n = len(blob) // HEAD.itemsize
+        hit = at + np.flatnonzero(mask[at : at + n])
         if len(hit):
-            out.append((int(g), int(key[0]), 4, rows["at"][at : at + n][hit].tobytes(), mask[at : at + n][hit].tobytes()))
+            out.append((int(g), int(key[0]), 2, head["at"][hit].astype("<u4").tobytes(), mask[hit].astype("<u4").tobytes()))
         at += n
     return _rows(out)
 
@@ -338,12 +326,8 @@ def cut_out(texts: bool, carry: list[str]):
         group = Group(frame) if len(frame) else None
         if group is None:
             return pd.DataFrame([], columns=names + [f"carry_{c}" for c in carry])
-        at = _joined(_of(settled, 2)["a"], "<u4").astype(np.int64)
-        document = group.document_of(at)
-        begin = [np.maximum(at - LEFT, group.starts[document])] if len(at) else []
-        end = [np.minimum(at + WIDTH, group.ends[document])] if len(at) else []
-        strings = _of(settled, 4)
-        at, mask = _joined(strings["a"], "<u4").astype(np.int64), _joined(strings["b"], "<u4")
+        at, mask = _joined(settled["a"], "<u4").astype(np.int64), _joined(settled["b"], "<u4")
+        begin, end = [], []
         for before in range(LEFT + 1):
             hit = at[mask >> np.uint32(before) & np.uint32(1) > 0] - before
             begin.append(hit)
@@ -386,13 +370,11 @@ def suffix_dedup(documents: DataFrame, texts: bool = False, carry: tuple[str, ..
     size = documents.select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
     dealt = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carry_{c}") for c in carry])
-    keys = dealt.groupBy("g").applyInPandas(send_keys(groups), PART_SCHEMA)
+    buckets = -(-groups // SHARE)
+    keys = dealt.groupBy("g").applyInPandas(send_keys(buckets), PART_SCHEMA)
     shared = keys.groupBy("bucket").applyInPandas(answer_shared, PART_SCHEMA)
-    contexts = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(send_contexts(groups), PART_SCHEMA)
-    verdicts = contexts.groupBy("bucket").applyInPandas(give_verdicts, PART_SCHEMA)
-    suffixes = dealt.groupBy("g").cogroup(verdicts.where("kind = 3").groupBy("g")).applyInPandas(send_suffixes, PART_SCHEMA)
-    strings = suffixes.groupBy("bucket").applyInPandas(settle_strings, PART_SCHEMA)
-    settled = verdicts.where("kind = 2").unionByName(strings)
+    contexts = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(send_suffixes(buckets), PART_SCHEMA)
+    settled = contexts.groupBy("bucket").applyInPandas(settle_strings, PART_SCHEMA)
     schema = T.StructType.fromDDL(TEXT_SCHEMA if texts else DIGEST_SCHEMA)
     for field in dealt.select(*[f"carry_{c}" for c in carry]).schema:
         schema.add(field.name, field.dataType)

@@ -1,8 +1,9 @@
 """Deep-shallow sorting of byte strings of one length (suffixes cut at the depth that matters).
 
-Shallow: multikey quicksort by super-characters of 8 bytes, all partitions of a level at once; the equal
-part of a partition goes on to the next super-character, to a shallow depth. Deep: what is still tied has
-a long common prefix and is ordered by a blind trie, which compares a string in full with one other only.
+Shallow: multikey quicksort by super-characters of 8 bytes. A partition is split in three by a pivot; its
+equal part goes on to the next super-character, to a shallow depth. All partitions that are open are split
+in one sweep. Deep: what is still tied has a long common prefix and is ordered by a blind trie, which
+compares a string in full with one other only.
 """
 
 from __future__ import annotations
@@ -67,47 +68,77 @@ def blind_trie_order(rows: list[bytes]) -> list[int]:
     return out
 
 
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of every range, one after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(begin - before, size)
+
+
+def multikey_quicksort(words: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by their first ``levels`` super-characters, and (begin, size) of what these leave tied."""
+    order = np.arange(len(words))
+    begin, size, level = np.array([0]), np.array([len(words)]), np.array([0])
+    tied_begin, tied_size = [begin[:0]], [begin[:0]]
+    while len(begin):
+        at = ranges(begin, size)
+        rows, part = order[at], np.repeat(np.arange(len(begin)), size)
+        key = words[rows, level[part]]
+        first = np.cumsum(size) - size
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[part]  # the median of three
+        sides = (key < pivot, key == pivot, key > pivot)
+        sizes = np.stack([np.add.reduceat(own, first, dtype=np.int64) for own in sides], 1)
+        starts = begin[:, None] + np.cumsum(sizes, 1) - sizes
+        for k, own in enumerate(sides):
+            seen = np.cumsum(own)
+            rank = seen - 1 - (seen - own)[first][part]
+            order[starts[part[own], k] + rank[own]] = rows[own]
+        deeper = level + 1
+        done = (deeper == levels) & (sizes[:, 1] > 1)
+        tied_begin.append(starts[done, 1])
+        tied_size.append(sizes[done, 1])
+        again = sizes > 1
+        again[:, 1] &= deeper < levels
+        level = np.stack([level, deeper, level], 1)[again]
+        begin, size = starts[again], sizes[again]
+    begin, size = np.concatenate(tied_begin), np.concatenate(tied_size)
+    turn = np.argsort(begin)
+    return order, begin[turn], size[turn]
+
+
 def deep_shallow_order(strings: np.ndarray, shallow: int = 24) -> np.ndarray:
     """Order of the rows of a uint8 matrix; ``shallow`` bytes are sorted by super-characters."""
     n, length = strings.shape
-    order = np.arange(n)
     if n < 2 or not length:
-        return order
-    width = -(-length // 8)
-    padded = np.zeros((n, width * 8), np.uint8)
-    padded[:, :length] = strings
-    words = padded.view(">u8").astype(np.uint64)
-    group = np.zeros(n, np.int64)
-    tied = np.arange(n)  # places in the order whose partition has more than one row
-    depth = 0
-    while len(tied) and depth < min(width, shallow // 8):
-        rows, parts = order[tied], group[tied]
-        key = words[rows, depth]
-        turn = np.lexsort((key, parts))
-        order[tied], key = rows[turn], key[turn]
-        fresh = np.r_[True, (parts[1:] != parts[:-1]) | (key[1:] != key[:-1])]
-        begin = np.flatnonzero(fresh)
-        sizes = np.diff(np.r_[begin, len(tied)])
-        group[tied] = np.repeat(tied[begin], sizes)
-        tied = tied[np.repeat(sizes, sizes) > 1]
-        depth += 1
-    if len(tied) and depth * 8 < length:
-        begin = np.flatnonzero(np.r_[True, group[tied][1:] != group[tied][:-1]])
-        for part in np.split(tied, begin[1:]):
-            rows = order[part]
-            tails = np.ascontiguousarray(strings[rows, depth * 8 :])
+        return np.arange(n)
+    levels = max(1, min(-(-length // 8), shallow // 8))
+    depth = min(length, levels * 8)
+    padded = np.zeros((n, levels * 8), np.uint8)
+    padded[:, :depth] = strings[:, :depth]
+    order, begin, size = multikey_quicksort(padded.view(">u8").astype(np.uint64), levels)
+    if len(begin) and depth < length:
+        # Groups of equal strings are in order as they are.
+        at, part = ranges(begin, size), np.repeat(np.arange(len(begin)), size)
+        differs = np.zeros(len(at), bool)
+        for a in range(0, len(at), 65536):
+            b = slice(a, a + 65536)
+            differs[b] = (strings[order[at[b]], depth:] != strings[order[begin[part[b]]], depth:]).any(1)
+        for k in np.unique(part[differs]):
+            rows = order[begin[k] : begin[k] + size[k]]
+            tails = np.ascontiguousarray(strings[rows, depth:])
             whole, step = tails.tobytes(), tails.shape[1]
-            order[part] = rows[blind_trie_order([whole[i : i + step] for i in range(0, len(whole), step)])]
+            order[begin[k] : begin[k] + size[k]] = rows[blind_trie_order([whole[i : i + step] for i in range(0, len(whole), step)])]
     return order
 
 
 def neighbour_prefixes(strings: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each row in the order and the one before it (the first: -1)."""
-    if not len(order):
-        return np.zeros(0, np.int64)
-    ranked = strings[order]
-    same = ranked[1:] == ranked[:-1]
-    return np.r_[-1, np.where(same.all(1), strings.shape[1], same.argmin(1))]
+    out = np.full(len(order), -1, np.int64)
+    for begin in range(1, len(order), 65536):
+        rows = strings[order[begin - 1 : begin + 65536]]
+        same = rows[1:] == rows[:-1]
+        out[begin : begin + 65536] = np.where(same.all(1), strings.shape[1], same.argmin(1))
+    return out
 
 
 def prefix_names(strings: np.ndarray, depths: list[int], shallow: int = 24) -> dict[int, np.ndarray]:
