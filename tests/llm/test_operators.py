@@ -425,16 +425,62 @@ def test_packing(docs, rows, empty, capacity):
     assert packing.best_fit_pack(empty).count() == 0
 
 
-def test_local_search_empties_bins():
-    lengths = np.array([60, 60, 60, 30, 30, 30, 10, 10, 10])
-    bins = packing.local_search([[0, 3], [1, 4], [2, 5], [6, 7, 8]], lengths, 100)
-    assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(9)) and all(lengths[b].sum() <= 100 for b in bins)
-    swap = packing.local_search([[0, 1], [2, 3], [4]], np.array([50, 40, 45, 45, 20]), 100)
-    assert len(swap) == 2 and all(np.array([50, 40, 45, 45, 20])[b].sum() <= 100 for b in swap) if len(swap) == 2 else len(swap) == 3
+def can_pack(lengths, capacity, bins):
+    """Whether ``bins`` bins suffice, by trying everything."""
+    load = [0] * bins
+
+    def place(i):
+        if i == len(lengths):
+            return True
+        seen = set()
+        for b in range(bins):
+            if load[b] + lengths[i] <= capacity and load[b] not in seen:
+                seen.add(load[b])
+                load[b] += lengths[i]
+                if place(i + 1):
+                    return True
+                load[b] -= lengths[i]
+        return False
+
+    return place(0)
+
+
+def test_local_search_saves_bins_that_best_fit_wastes():
+    rnd = random.Random(1)
+    wasted = saved = 0
+    for _ in range(400):
+        lengths = np.array(sorted((rnd.randint(10, 60) for _ in range(rnd.randint(6, 13))), reverse=True))
+        bins = packing.best_fit(lengths, 100)
+        fewest = -(-int(lengths.sum()) // 100)
+        if len(bins) > fewest and can_pack(lengths.tolist(), 100, len(bins) - 1):
+            found = packing.pack(lengths, 100)
+            assert sorted(i for b in found for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 100 for b in found)
+            wasted, saved = wasted + 1, saved + (len(found) < len(bins))
+    assert wasted >= 10 and saved >= 0.9 * wasted
+
+
+def test_local_search_steps_raise_squared_fill():
+    lengths = np.sort(np.random.default_rng(4).integers(900, 2500, 200))[::-1].copy()
+    bins = packing.best_fit(lengths, 4096)
+    state = packing.Swaps(bins, lengths, 4096)
+    before = state.fill.copy()
+    while (step := next((x for a in np.argsort(state.fill) if 0 < state.fill[a] < 4096 and (x := state.best_step(int(a)))), None)) and state.used() > state.least:
+        gain, leave, come, b = step
+        a = int(state.of[leave[0]])
+        assert len(leave) in (1, 2) and 0 < gain <= 4096 - state.fill[b]
+        state.of[leave] = b
+        if come >= 0:
+            state.of[come] = a
+        state.fill[b] += gain
+        state.fill[a] -= gain
+        state._refresh()
+        assert (state.fill**2).sum() > (before**2).sum() and (np.bincount(state.of, weights=lengths, minlength=len(bins)) == state.fill).all()
+        before = state.fill.copy()
+    assert len(packing.pack(lengths)) < len(bins)
     rnd = np.random.default_rng(8)
     lengths = np.sort(rnd.integers(1, 100, 500))[::-1]
     packed = packing.pack(lengths, 100)
-    assert sorted(i for b in packed for i in b) == list(range(500)) and len(packed) <= len(packing.best_fit(lengths, 100)) and len(packed) <= 1.05 * lengths.sum() / 100
+    assert sorted(i for b in packed for i in b) == list(range(500)) and len(packed) <= len(packing.best_fit(lengths, 100))
 
 
 # --- suffixes -------------------------------------------------------------------------------------------------------
@@ -475,6 +521,26 @@ def plain_removal(documents):
     return sorted(out)
 
 
+def test_sorting_decides_what_repeats():
+    rnd = random.Random(3)
+    gram = b"twenty bytes, always"
+    for trial in range(20):
+        kinds = [(bytes(rnd.choices(b"ab", k=30)), bytes(rnd.choices(b"ab", k=30))) for _ in range(4)]
+        head, text, strings = np.zeros(60, suffix_dedup.HEAD), b"", []
+        for i in range(60):
+            left, right = rnd.choice(kinds)
+            left = bytes(rnd.choices(b"ab", k=30 - (cut := rnd.choice([5, 29, 30])))) + left[30 - cut :]  # a common end
+            first = rnd.randint(0, 30)
+            last = rnd.randint(0, first)
+            head[i] = (rnd.randint(0, 25), i, first, last)
+            text += left[30 - first :] + gram + right[: 30 - last]
+            strings.append({k: left[30 - k :] + gram + right[: 30 - k] for k in range(last, first + 1)})
+        got = suffix_dedup.repeated_strings(head, np.frombuffer(text, np.uint8))
+        for i in range(60):
+            want = sum(1 << k for k, x in strings[i].items() if any(head["id"][j] < head["id"][i] and strings[j].get(k) == x for j in range(60)))
+            assert got[i] == want, (trial, i)
+
+
 @pytest.mark.parametrize("size", [16 << 20, 3000])
 def test_suffix_dedup(docs, rows, empty, monkeypatch, size):
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", size)
