@@ -4,8 +4,8 @@ Counts cover every training text: counted per task, summed by word. The most fre
 at most) go to every executor; the counts of all other words are joined where they are needed. The
 recurrent model starts as the unigram model of these counts, is trained by the driver on a share of the
 training texts, and then by the tasks on all of them: every training text comes in one of the rounds, in
-the task that reads it. The tasks' models are averaged after each round, weighted by words, in groups and
-then at last.
+the task that reads it. The tasks' models are averaged after each round, weighted by words, FAN_IN at a
+time and level by level, so that no task and not the driver ever holds more models than that.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import checkpointed, doc_remainder, text_bytes
+from quillsift.llm.common import checkpointed, doc_remainder, text_bytes, tidy
 from quillsift.llm.gated_lm import OTHER, OWN_WORDS, GatedLM, Trainer, log10_probabilities
 
 FOLDS = 10
@@ -31,6 +31,8 @@ END = b"\n"
 #: Texts that the driver starts with, at most (in expectation); rounds that the one pass over all texts is split into.
 START_TEXTS = 1500
 ROUNDS = 2
+#: Texts that a task trains on together, its rate, and models that are averaged at once.
+TOGETHER, RATE, FAN_IN = 256, 0.01, 16
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -38,6 +40,7 @@ def tokens(text: str | None) -> list[bytes]:
     return [*text_bytes(text).lower().split(), END]
 
 
+@tidy
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
     for frame in frames:
@@ -91,6 +94,8 @@ def frequent_words(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w for w, _ in rows], np.array([c for _, c in rows], np.int64), sum(r["c"] for r in levels), sum(r["n"] for r in levels))
 
 
+MODEL_SCHEMA = "part int, words long, model binary"
+
 _PLACES: list = [None, {}]
 
 
@@ -134,26 +139,28 @@ def train(training: DataFrame, vocabulary: Vocabulary, sent, rounds: int = ROUND
 
         def local(frames: Iterator[pd.DataFrame], blob=blob) -> Iterator[pd.DataFrame]:
             places, own = _places(sent), GatedLM.from_bytes(blob.value)
-            trainer, seen = Trainer(own, rate=0.003), 0
+            trainer, seen = Trainer(own, rate=RATE, texts=TOGETHER), 0
             for frame in frames:
                 seen += trainer.train([_own_ids(tokens(t), places) for t in frame["text"]]) if len(frame) else 0
             if seen:
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "words": [seen], "model": [own.to_bytes()]})
 
-        trained = _round(training, turn, rounds).mapInPandas(local, "part int, words long, model binary")
-        merged = trained.groupBy(F.pmod("part", F.lit(max(1, int((texts / 8192) ** 0.5)))).alias("m")).applyInPandas(_average, "words long, model binary")
-        rows = merged.toPandas()
+        models = checkpointed(_round(training, turn, rounds).mapInPandas(local, MODEL_SCHEMA))
+        while models.count() > FAN_IN:
+            models = checkpointed(models.groupBy(F.floor(F.col("part") / FAN_IN).cast("int").alias("of")).applyInPandas(_average, MODEL_SCHEMA))
+        rows = models.toPandas()
         if len(rows):
             model = GatedLM.from_bytes(_average((0,), rows)["model"][0])
     return model
 
 
-def _average(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _average(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """The mean of some models, weighted by the words that they saw, and the words of all."""
     total, weight = None, 0
     for words, blob in sorted(zip(frame["words"], frame["model"], strict=True)):
         part = np.frombuffer(blob, "<f4").astype(np.float64) * words
         total, weight = part if total is None else total + part, weight + words
-    return pd.DataFrame({"words": [weight], "model": [(total / weight).astype("<f4").tobytes()]})
+    return pd.DataFrame({"part": [int(key[0])], "words": [weight], "model": [(total / weight).astype("<f4").tobytes()]})
 
 
 def lm_scores(documents: DataFrame) -> DataFrame:
@@ -174,6 +181,7 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     log_denominator, log_other = float(np.log10(vocabulary.denominator)), float(np.log10(vocabulary.other_mass))
     log_counts = np.log10(vocabulary.counts + SMOOTHING)
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places, lm = _places(sent), GatedLM.from_bytes(model.value)
         row = TaskContext.get().partitionId() << 40
