@@ -68,7 +68,7 @@ def _fold(level: int) -> str:
 
 
 def mix(documents: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every row of ``documents`` (doc_id, text, source).
+    """doc_id, size, source_size, target, taken, copies and source of every row of ``documents`` (doc_id, text, source).
 
     Null and empty texts have size 0 and take no words. The null source is a source of its own, the last
     one. Repeated rows are documents of their own. Sources of size 0 have the target 0. An empty table
@@ -84,23 +84,23 @@ def mix(documents: DataFrame) -> DataFrame:
         .withColumn("sure", F.floor(share).cast("int"))
         .withColumn("chance", F.round((share - F.floor(share)) * SCALE).cast("long"))
     )
-    told = ["source_size", "target", "sure"]
+    told = ["source", "source_size", "target", "sure"]
     open_units = (F.col("size") > 0) & (F.col("chance") > 0) & (F.col("chance") < SCALE)
     results = [planned.where(~open_units).select("doc_id", "size", *told, (F.col("chance") >= SCALE).cast("int").alias("extra"))]
-    units = planned.where(open_units).select("source", *told, "n", "doc_id", "size", (F.col("size") * F.col("chance")).alias("mass"))
+    units = planned.where(open_units).select(*told, "n", "doc_id", "size", (F.col("size") * F.col("chance")).alias("mass"))
     largest = targets.agg(F.max("n")).first()[0] or 1
     levels = max(1, math.ceil(math.log(max(2, largest), BLOCK)))
     for level in range(levels):
         blocks = F.ceil(F.col("n") / F.lit(float(BLOCK ** (level + 1)))).cast("long")
         folded = (
             units.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), blocks))
-            .groupBy("source", *told, "n", "block")
+            .groupBy(*told, "n", "block")
             .agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("r"), F.xxhash64("doc_id", F.lit(~level)).alias("t"), "doc_id", "size", "mass"))).alias("units"))
-            .select("source", *told, "n", F.expr(_fold(level)).alias("s"))
+            .select(*told, "n", F.expr(_fold(level)).alias("s"))
         )
         folded = checkpointed(folded)
         results.append(folded.select(*told, F.explode("s.done").alias("d")).select("d.doc_id", "d.size", *told, "d.extra"))
-        units = folded.select("source", *told, "n", "s.cur.doc_id", "s.cur.size", "s.cur.mass")
+        units = folded.select(*told, "n", "s.cur.doc_id", "s.cur.size", "s.cur.mass")
     # At the last level a source is one block; its one residual goes the way that is nearer to the target.
     last = 2 * F.col("mass") >= F.col("size") * SCALE
     results.append(units.select("doc_id", "size", *told, last.cast("int").alias("extra")))
@@ -108,4 +108,4 @@ def mix(documents: DataFrame) -> DataFrame:
     for more in results[1:]:
         out = out.unionByName(more)
     copies = (F.col("sure") + F.col("extra")).cast("int")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source")
