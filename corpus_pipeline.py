@@ -91,8 +91,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     takes its size; of rows of one id and size, which of them is drawn does not matter to the mix.
     """
     with_id, without_id = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    key, size, times, turn, number = (_unused(docs, c) for c in ("mixed_id", "size", "copies", "turn", "copy"))
-    mixed = checkpointed(mix(with_id).select(F.col("doc_id").alias(key), F.col("size").alias(size), F.col("copies").alias(times)))
+    key, size, times, turn, number, kind = (_unused(docs, c) for c in ("mixed_id", "size", "copies", "turn", "copy", "mixed_source"))
+    mixed = checkpointed(mix(with_id).select(F.col("doc_id").alias(key), F.col("size").alias(size), F.col("copies").alias(times), F.col("source").alias(kind)))
     repeated = checkpointed(mixed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
     document = F.col("doc_id") == F.col(key)
 
@@ -102,11 +102,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if repeated.isEmpty():
         return taken(with_id.join(mixed.where(F.col(times) > 0), document)).unionByName(without_id)
     alone = taken(with_id.join(mixed.join(repeated, key, "left_anti"), document))
-    # Rows that share an id and a size are numbered on both sides.
-    rows = with_id.join(repeated, document, "left_semi").withColumn(size, word_count(F.col("text")))
-    rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", size).orderBy("text")))
-    several = mixed.join(repeated, key, "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy(key, size).orderBy(times)))
-    each = rows.withColumn(key, F.col("doc_id")).join(several, [key, size, turn])
+    # Rows that share an id, a size and a source are numbered on both sides; a marker keeps null sources equal.
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    rows = with_id.join(repeated, document, "left_semi").withColumns({size: word_count(F.col("text")), kind: marked("source"), key: F.col("doc_id")})
+    several = mixed.join(repeated, key, "left_semi").withColumn(kind, marked(kind))
+    turns = lambda order: F.row_number().over(Window.partitionBy(key, size, kind).orderBy(order))
+    each = rows.withColumn(turn, turns("text")).join(several.withColumn(turn, turns(times)), [key, size, kind, turn])
     return alone.unionByName(taken(each)).unionByName(without_id)
 
 
