@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from quillsift.functions.names import deletions, near, normalise, ocr_fold, reach, squeeze
 from quillsift.operators.redaction import EMAIL, MID_CAPITAL, WORD, is_author_word, zone
-from quillsift.operators.roster import DIGIT_LOOKALIKES, FLAGS, Roster
+from quillsift.operators.roster import DIGIT_LOOKALIKES, FLAGS, HEAD, Roster
 
 LEAK = T.ArrayType(T.StructType([T.StructField("student_id", T.StringType()), T.StructField("kind", T.StringType())]))
 
@@ -31,17 +31,18 @@ _NOT_DIGITS = regex.compile(r"[^0-9]+")
 SHORTEST_ID_DIGITS = 3
 
 
-def _term_hits(tokens: list[str], terms: dict) -> Iterator[tuple]:
-    by_first: dict[str, list] = {}
-    for term, hits in terms.items():
-        if term:
-            by_first.setdefault(term[0], []).append((term, hits))
+def _term_hits(tokens: list[str], starts: dict) -> Iterator[tuple]:
     for i, token in enumerate(tokens):
-        for term, hits in by_first.get(token, ()):
+        for term, hits in starts.get(token, ()):
             if tuple(tokens[i : i + len(term)]) == term:
                 yield from hits
 
 
+def windows(text: str, sizes: list[int]) -> set[str]:
+    """All substrings of the given lengths."""
+    return {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)}
+
+
 def id_readings(text: str) -> Iterator[str]:
     """Digits that runs of digits and lookalikes may stand for; bars are separators or ones."""
     for run in ID_RUN.findall(unicodedata.normalize("NFKC", text)):
@@ -51,21 +52,21 @@ def id_readings(text: str) -> Iterator[str]:
 
 
 def find_leaks(text: str, roster: Roster, first_names: bool = True, zones: bool | None = None, author: str | None = None) -> list[tuple[str | None, str]]:
-    """Distinct (owner, kind), in the order found. ``zones`` is as ``first_names`` unless given."""
+    """Distinct (owner, kind). ``zones`` is as ``first_names`` unless given."""
     found: dict[tuple[str | None, str], None] = {}
 
     def add(owners, kind: str) -> None:
         found.update(((o, kind), None) for o in owners)
 
     tokens = normalise(text).split()
-    for owner, kind in _term_hits(tokens, roster.terms):
+    for owner, kind in _term_hits(tokens, roster.term_starts):
         add([owner], kind)
     capitals = CAPITAL_WORD.findall(text)
-    for owner, kind, is_first in _term_hits(normalise(" ".join(capitals)).split(), roster.capital_terms):
+    for owner, kind, is_first in _term_hits(normalise(" ".join(capitals)).split(), roster.capital_starts):
         if first_names or not is_first:
             add([owner], kind)
     for digits in id_readings(text):
-        add([i for i in roster.student_ids if i in digits], "studentId")
+        add(sorted(windows(digits, roster.id_sizes) & roster.student_ids), "studentId")
 
     words = [t for t in tokens if t != "dot"]
     glued = "".join(words)
@@ -73,21 +74,20 @@ def find_leaks(text: str, roster: Roster, first_names: bool = True, zones: bool
     for w in words:
         at += len(w)
         edges.add(at)
-    for local, owners in roster.locals.items():
-        begin = glued.find(local)
-        while begin >= 0:
-            if begin in edges and begin + len(local) in edges:
+    for begin in sorted(edges):
+        for size in roster.local_sizes:
+            if begin + size in edges and (owners := roster.locals.get(glued[begin : begin + size])):
                 add(owners, "email")
-                break
-            begin = glued.find(local, begin + 1)
     everything = "".join(tokens)
-    for run, owners in roster.merged.items():
-        if run in everything:
-            add(owners, "name")
+    for head in sorted(windows(everything, [HEAD]) & roster.merged_heads.keys()):
+        for run in roster.merged_heads[head]:
+            if run in everything:
+                add(roster.merged[run], "name")
     for word in map(squeeze, capitals):
-        for surname, owners in roster.long_surnames.items():
-            if len(word) > len(surname) and (word.startswith(surname) or word.endswith(surname)):
-                add(owners, "name")
+        for size in roster.surname_sizes:
+            if len(word) > size:
+                for end in (word[:size], word[-size:]):
+                    add(roster.long_surnames.get(end, ()), "name")
     folded = ocr_fold.__wrapped__(" ".join(words))
     if any(d in folded for d in roster.folded_domains) or ("@" in text and EMAIL.search(text)):
         add([None], "email")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import regex
 
-from quillsift.functions.names import near, normalise, ocr_fold, reach, squeeze
+from quillsift.functions.names import deletions, near, normalise, ocr_fold, reach, squeeze
 
 # Characters that are read in place of digits, and of letters in a domain.
 DIGIT_LOOKALIKES = {"0": "0OoDQ", "1": "1Ili|!", "2": "2Zz", "5": "5Ss", "6": "6bG", "8": "8B", "9": "9gq"}
@@ -45,40 +46,46 @@ class Person:
         return f"{self.first} {self.last}", f"{self.last}, {self.first}", f"{self.last} {self.first}"
 
 
-def quoted(text: str) -> str:
-    return regex.escape(text, special_only=True, literal_spaces=True)
-
-
-def _any_apostrophe(text: str) -> str:
-    return quoted(text).replace("'", f"['’{SPACE}]?")
-
-
-def name_pattern(name: str) -> str:
-    return BETWEEN.join(_any_apostrophe(p) for p in regex.split(rf"[{SPACE},]+", name))
-
+@dataclass(frozen=True)
+class Spelling:
+    """How a reader may find a kind of identifier written: where it is split, what stands for a character, and what may come between.
 
-def local_pattern(local: str) -> str:
-    """A local part, split anywhere by a space or point, its separators perhaps spelled out."""
-    gap = rf"(?:{BETWEEN}|[{SPACE}]*[(\[]?dot[)\]]?[{SPACE}]*)"
-    return gap.join(rf"[{SPACE}.]?".join(quoted(c) for c in part) for part in regex.split(r"[._\-]+", local))
+    ``readings``: pattern of a character that may be misread; others stand for themselves. ``glue``: what may
+    come between two characters of a part; ``gap``: between two parts.
+    """
 
+    split: str | None
+    readings: Mapping[str, str]
+    glue: str = ""
+    gap: str = ""
 
-def id_pattern(student_id: str) -> str:
-    return r"[^\p{L}\p{N}\n]{0,3}".join("[" + regex.sub(r"([|!\[\]\\^-])", r"\\\1", DIGIT_LOOKALIKES.get(d, d)) + "]" for d in student_id)
+    def of(self, value: str) -> str:
+        parts = regex.split(self.split, value) if self.split else [value]
+        return self.gap.join(self.glue.join(self.readings.get(c) or regex.escape(c, literal_spaces=True) for c in part) for part in parts)
 
 
-def domain_pattern(domain: str) -> str:
-    gap = rf"(?:[{SPACE}]*(?:[.,]|[(\[]?dot[)\]]?)[{SPACE}]*|[{SPACE}]+)"
-    return gap.join(" ?".join(DOMAIN_LOOKALIKES.get(c, quoted(c)) for c in label) for label in domain.split("."))
+def _class(characters: str) -> str:
+    return "[" + "".join("\\" + c if c in "|!" else c for c in characters) + "]"
 
 
-def one_of(patterns) -> str:
-    """Longest alternative first; the order of equal lengths is kept."""
-    return "(?:" + "|".join(sorted(dict.fromkeys(patterns), key=len, reverse=True)) + ")"
+_DOT = r"[(\[]?dot[)\]]?"
+_APOSTROPHE = {"'": f"['’{SPACE}]?"}
+# What may stand between the parts of an identifier of each kind.
+SPELLINGS = {
+    "name": Spelling(rf"[{SPACE},]+", _APOSTROPHE, gap=BETWEEN),
+    "comma name": Spelling(", ", _APOSTROPHE, gap=rf"[{SPACE}.]*,[{SPACE}.]*"),
+    "email local": Spelling(r"[._\-]+", {}, glue=rf"[{SPACE}.]?", gap=rf"(?:{BETWEEN}|[{SPACE}]*{_DOT}[{SPACE}]*)"),
+    "student id": Spelling(None, {d: _class(seen) for d, seen in DIGIT_LOOKALIKES.items()}, glue=r"[^\p{L}\p{N}\n]{0,3}"),
+    "domain": Spelling(r"\.", DOMAIN_LOOKALIKES, glue=" ?", gap=rf"(?:[{SPACE}]*(?:[.,]|{_DOT})[{SPACE}]*|[{SPACE}]+)"),
+}
+LETTER = r"[\p{L}\p{N}]"
 
 
-def as_word(pattern: str, ignore_case: bool) -> regex.Pattern:
-    return regex.compile(rf"(?<![\p{{L}}\p{{N}}]){pattern}(?![\p{{L}}\p{{N}}])", FLAGS | (regex.I if ignore_case else 0))
+def spelled(kind: str, values: Iterable[str], edge: str = LETTER, before: str = "", any_case: bool = False) -> regex.Pattern:
+    """One pattern for all ``values`` of a kind, the longest tried first, not inside a run of ``edge``; ``before``: what may be attached in front."""
+    bodies = sorted({SPELLINGS[kind].of(v): None for v in values}, key=len, reverse=True)
+    bounds = (f"(?<!{edge})", f"(?!{edge})") if edge else ("", "")
+    return regex.compile(f"{bounds[0]}{before}(?:{'|'.join(bodies)}){bounds[1]}", FLAGS | (regex.I if any_case else 0))
 
 
 # Local parts that may be attached to a school domain.
@@ -91,6 +98,19 @@ _ATTACHED = (
 )
 
 
+#: Letters by which run-together names are found.
+HEAD = 4
+
+
+def _by_first(terms: Mapping[tuple[str, ...], list]) -> dict[str, list[tuple[tuple[str, ...], list]]]:
+    """Terms of tokens by their first token."""
+    out: dict[str, list] = defaultdict(list)
+    for term, hits in terms.items():
+        if term:
+            out[term[0]].append((term, hits))
+    return out
+
+
 @dataclass
 class Roster:
     people: tuple[Person, ...]
@@ -102,18 +122,18 @@ class Roster:
             raise ValueError("the roster needs at least one student")
         if sum(p.student_id is not None for p in people) > MOST_STUDENTS:
             raise ValueError(f"the roster has more than {MOST_STUDENTS} students")
-        shouted = lambda names: [v for n in names for v in (n, n.upper())]
-        parts = [n for p in people for n in (p.first, p.last)]
+        aloud = lambda names: [v for n in names for v in (n, n.upper())]
+        first_last, comma, last_first = zip(*(p.orders for p in people), strict=True)
         domains = list(dict.fromkeys(p.domain for p in people))
-        self.full = as_word(one_of(name_pattern(f"{p.first} {p.last}") for p in people), True)
-        self.comma = as_word(one_of(rf"{_any_apostrophe(p.last)}[{SPACE}.]*,[{SPACE}.]*{_any_apostrophe(p.first)}" for p in people), True)
-        self.last_first = as_word(one_of(name_pattern(n) for p in people for n in shouted([f"{p.last} {p.first}"])), False)
-        self.local = as_word(one_of(local_pattern(p.local) for p in people), True)
-        self.ids = regex.compile(rf"(?<!\p{{N}}){one_of(id_pattern(p.student_id) for p in people if p.student_id)}(?!\p{{N}})", FLAGS)
-        bodies = one_of(domain_pattern(d) for d in domains)
-        self.domain_only = regex.compile(bodies, FLAGS | regex.I)
-        self.domain = regex.compile(rf"(?<![\p{{L}}\p{{N}}_%+\-\[\].@]){_ATTACHED}{bodies}", FLAGS | regex.I)
-        self.bare = as_word(one_of(name_pattern(n) for n in shouted(parts)), False)
+        self.full = spelled("name", first_last, any_case=True)
+        self.comma = spelled("comma name", comma, any_case=True)
+        self.last_first = spelled("name", aloud(last_first))
+        self.local = spelled("email local", (p.local for p in people), any_case=True)
+        self.ids = spelled("student id", (p.student_id for p in people if p.student_id), edge=r"\p{N}")
+        self.domain_only = spelled("domain", domains, edge="", any_case=True)
+        attached = rf"(?<![\p{{L}}\p{{N}}_%+\-\[\].@]){_ATTACHED}"
+        self.domain = spelled("domain", domains, edge="", before=attached, any_case=True)
+        self.bare = spelled("name", aloud(n for p in people for n in (p.first, p.last)))
         self.folded_domains = [ocr_fold(d.replace(".", "")) for d in domains]
 
         self.partners: dict[str, list[tuple[str, str]]] = defaultdict(list)  # folded part -> (first, last) of who has it
@@ -133,7 +153,7 @@ class Roster:
             for part in (first, last):
                 self.owners[part].append(p.owner)
             if p.student_id:
-                initials = regex.compile(rf"(?<!\p{{L}}){quoted(p.first[0].upper())}\.[{SPACE}]?{quoted(p.last[0].upper())}\.", FLAGS)
+                initials = regex.compile(rf"(?<!\p{{L}}){regex.escape(p.first[0].upper())}\.[{SPACE}]?{regex.escape(p.last[0].upper())}\.", FLAGS)
                 self.authors[p.student_id] = ((first, last), initials)
             for kind, values in (("email", (p.email, p.local)), ("name", p.orders)):
                 for v in values:
@@ -148,14 +168,26 @@ class Roster:
             if len(squeeze(p.last)) >= 6:
                 self.long_surnames[squeeze(p.last)].append(p.owner)
         self.longest_name = max(map(len, self.owners))
+        # Indexes, so that a text costs the same whatever the size of the roster.
+        self.variants: dict[str, list[str]] = defaultdict(list)  # what deletions leave of a folded part -> parts
+        for name in self.owners:
+            for left in deletions(name, reach(name)):
+                self.variants[left].append(name)
+        self.term_starts = _by_first(self.terms)
+        self.capital_starts = _by_first(self.capital_terms)
+        self.local_sizes, self.id_sizes, self.surname_sizes = (sorted({len(x) for x in index}) for index in (self.locals, self.student_ids, self.long_surnames))
+        self.merged_heads: dict[str, list[str]] = defaultdict(list)
+        for run in self.merged:
+            self.merged_heads[run[:HEAD]].append(run)
         self.near_names = lru_cache(maxsize=50_000)(self._near_names)
 
     def _near_names(self, word: str) -> tuple[str, ...]:
-        """Folded name parts that a word may stand for where matching is loose."""
+        """Folded name parts that a word may stand for where matching is loose, in the order of the roster."""
         folded = ocr_fold(word)
         if not 2 <= len(folded) <= self.longest_name + 2:
             return ()
-        return tuple(n for n in self.owners if abs(len(n) - len(folded)) <= reach(n) and near(folded, n))
+        met = {n for left in deletions(folded, 2) for n in self.variants.get(left, ())}
+        return tuple(n for n in self.owners if n in met and near(folded, n)) if met else ()
 
     def __getstate__(self) -> tuple[Person, ...]:
         return self.people

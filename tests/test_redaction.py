@@ -1,5 +1,6 @@
 """Literal cases of redaction and leak detection. The roster is invented; the forms are those that occur."""
 
+import random
 import time
 
 import pytest
@@ -102,7 +103,7 @@ def test_output_guard():
 def test_hostile_texts_are_fast(text):
     start = time.perf_counter()
     find_leaks(redact(text, R, "700200301"), R, author="700200301")
-    assert time.perf_counter() - start < 5
+    assert time.perf_counter() - start < 1
 
 
 def test_closeness():
@@ -123,6 +124,23 @@ def test_too_large_roster_is_refused():
         Roster(tuple(people))
 
 
+def test_leaks_cost_the_same_with_a_large_roster():
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n)).capitalize()
+    crowd = Roster(tuple(Person(word(rnd.randint(3, 9)), word(rnd.randint(4, 10)), f"{word(8).lower()}{i}@northvale.edu", str(8_000_000 + i)) for i in range(480)) + R.people)
+    text = "\n".join(" ".join(word(rnd.randint(3, 9)) for _ in range(3)) for _ in range(300))
+
+    def took(roster):
+        start = time.perf_counter()
+        find_leaks(text, roster)
+        return time.perf_counter() - start
+
+    took(R), took(crowd)  # words that were folded once are remembered
+    assert took(crowd) < 4 * took(R) + 0.05
+    for leak in ("Tomas Keller", "700 200 301", "Thanks toLeilaFarouk", "Whitlockand friends", "Tonas Kellar"):
+        assert set(find_leaks(leak, R)) <= set(find_leaks(leak, crowd)) and find_leaks(leak, R)
+
+
 def test_steps_through_spark(spark):
     from quillsift.operators.leaks import leaks
     from quillsift.operators.redaction import redacted
