@@ -57,7 +57,7 @@ class WordTokens(dict):
     #: Bytes that an entry takes beside its word and its ids.
     ENTRY = 180
 
-    def __init__(self, path: str, limit: int = 24 << 20):
+    def __init__(self, path: str, limit: int = 64 << 20):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
