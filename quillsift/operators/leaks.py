@@ -166,6 +166,54 @@ def substring_leaks(documents: DataFrame, needles: list[tuple[str, str]], hay: C
     return documents.select(key, hay.alias("hay")).select(key, F.explode(F.array_distinct(hits)).alias("student_id"), F.lit(kind).alias("kind"))
 
 
+def _per_text(roster: Roster, spark: SparkSession, found):
+    """UDF: the distinct strings that ``found`` (text, author, roster) gives for a text."""
+    sent = spark.sparkContext.broadcast(roster)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series, authors: pd.Series) -> pd.Series:
+        compiled = sent.value
+        return pd.Series([[] if t is None else sorted(set(found(t, a, compiled))) for t, a in zip(texts, authors, strict=True)], dtype=object)
+
+    return run
+
+
+def glued_leaks(documents: DataFrame, roster: Roster, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, student_id): whole tokens in a row, "dot" left out, that are a local part once glued. Runs of a fitting length ⋈ local parts."""
+
+    def runs(t: str, _author: str | None, r: Roster) -> Iterator[str]:
+        tokens = [w for w in normalise(t).split() if w != "dot"]
+        edges = [0]
+        for w in tokens:
+            edges.append(edges[-1] + len(w))
+        known, glued = set(edges), "".join(tokens)
+        return (glued[b : b + n] for b in edges for n in r.local_sizes if b + n in known)
+
+    spark = documents.sparkSession
+    locals_ = spark.createDataFrame(sorted({(x, o) for x, owners in roster.locals.items() for o in owners}), "local string, student_id string")
+    found = documents.select(key, F.explode(_per_text(roster, spark, runs)(F.col(text), F.lit(None).cast("string"))).alias("run"))
+    return found.join(F.broadcast(locals_), F.col("run") == F.col("local")).select(key, "student_id").distinct()
+
+
+def zone_names(documents: DataFrame, roster: Roster, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, name): folded names that words of a text's zones come near."""
+
+    def names(t: str, _author: str | None, r: Roster) -> Iterator[str]:
+        lines = t.split("\n")
+        return (n for i in zone(lines) for w in WORD.findall(lines[i]) if w != "REDACTED" for n in r.near_names(w))
+
+    return documents.select(key, F.explode(_per_text(roster, documents.sparkSession, names)(F.col(text), F.lit(None).cast("string"))).alias("name"))
+
+
+def author_leaks(documents: DataFrame, roster: Roster, author: str, text: str = "text") -> DataFrame:
+    """The rows of ``documents`` in which a capitalised word inside a sentence comes near its author's own name."""
+
+    def words(t: str, a: str | None, r: Roster) -> Iterator[str]:
+        return (w for w in MID_CAPITAL.findall(t) if is_author_word(w, r.authors[a][0])) if a in r.authors else iter(())
+
+    return documents.where(F.size(_per_text(roster, documents.sparkSession, words)(F.col(text), F.col(author).cast("string"))) > 0)
+
+
 @F.pandas_udf(T.StringType())
 def id_hay(texts: pd.Series) -> pd.Series:
     """All digits that a text's runs of digits and lookalikes may stand for, by a space."""

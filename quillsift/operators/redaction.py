@@ -212,18 +212,27 @@ def redact(text: str, roster: Roster, author: str | None = None) -> str:
     return text
 
 
+def after_step(documents: DataFrame, roster: Roster, step: str, text: str = "text", author: str | None = None, out: str = "redacted") -> DataFrame:
+    """``documents`` with the text after one step alone, for looking at a step by itself."""
+    return _through(documents, roster, dict(STEPS)[step], text, author, out)
+
+
 def redacted(documents: DataFrame, roster: Roster, text: str = "text", author: str | None = None, out: str = "redacted") -> DataFrame:
     """``documents`` with the redacted text added; ``author``: the column of the author's student id, if there is one.
 
     One Arrow crossing for all steps; the roster, of bounded size, goes with the task. Null texts stay null.
     """
+    return _through(documents, roster, redact, text, author, out)
+
+
+def _through(documents: DataFrame, roster: Roster, change: Callable[[str, Roster, str | None], str], text: str, author: str | None, out: str) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(roster)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         compiled = sent.value
         for texts, authors in batches:
-            yield pd.Series([None if t is None else redact(t, compiled, a) for t, a in zip(texts, authors, strict=True)], dtype=object)
+            yield pd.Series([None if t is None else change(t, compiled, a) for t, a in zip(texts, authors, strict=True)], dtype=object)
 
     who: Column = F.col(author).cast("string") if author else F.lit(None).cast("string")
     return documents.withColumn(out, run(F.col(text), who))

@@ -7,9 +7,11 @@ partial results before the shuffle and no sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.functions import text as X
+
 OCR_LEAST_CONFIDENCE = 75
 LEAST_IMAGE_WORDS, LOGO_PIXELS, ICON_PIXELS = 2, 400, 100
 OPEN_STATES = ("pending", "manual", "error")
@@ -159,36 +161,52 @@ def student_view(status: Column, submitted: Column) -> Column:
     return F.when(~submitted, "not_submitted").when(status == "final", "graded").otherwise("submitted")
 
 
+def _repeated(checked: DataFrame, value: Column, flag: str) -> DataFrame:
+    """``checked`` with whether the value of a row stands in other rows too. Missing values are never compared, however many there are."""
+    key = f"_{flag}_key"
+    several = checked.select(value.alias(key)).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key, F.lit(True).alias(flag))
+    return checked.join(several, value == F.col(key), "left").drop(key)
+
+
 def roster_violations(people: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """``people`` with the array of rules that a row breaks (role, student_id, first_name, last_name, email, original_id)."""
+    """``people`` with the array of rules that a row breaks (role, student_id, first_name, last_name, email, original_id).
+
+    Fields count without white space at their ends. ``roster_size_error`` has the rule on the number of rows.
+    """
     name = r"^\p{L}[\p{L}\p{M}'’. -]*\z"
-    email = F.lower(F.trim("email"))
-    same = lambda c: F.count(c).over(Window.partitionBy(c)) > 1  # noqa: E731  a student id, email or original id of many rows is wrong as such
+    first, last, email, student = X.trimmed(F.col("first_name")), X.trimmed(F.col("last_name")), F.lower(X.trimmed(F.col("email"))), X.trimmed(F.col("student_id"))
     teacher = F.col("role").eqNullSafe("teacher")
+    checked = _repeated(_repeated(people, student, "_same_id"), email, "_same_email")
     rules = {
-        "name_required": F.coalesce((F.trim("first_name") == "") | (F.trim("last_name") == ""), F.lit(True)),
-        "name_letters": ~(F.col("first_name").rlike(name) & F.col("last_name").rlike(name)),
+        "name_required": F.coalesce((first == "") | (last == ""), F.lit(True)),
+        "name_length": F.coalesce((F.length(first) > 60) | (F.length(last) > 60), F.lit(False)),
+        "name_letters": ~(first.rlike(name) & last.rlike(name)),
         "email_invalid": ~email.rlike(r"^[^\s@,;<>]+@[^\s@,;<>]+\.[^\s@,;<>]+\z") | (F.length(email) > 254),
-        "id_digits": ~teacher & ~F.coalesce(F.col("student_id"), F.lit("")).rlike(r"^[0-9]{7,12}\z"),
-        "duplicate_id": F.col("student_id").isNotNull() & same(F.col("student_id")),
-        "duplicate_email": same(email),
+        "id_digits": ~teacher & ~F.coalesce(student, F.lit("")).rlike(r"^[0-9]{7,12}\z"),
+        "duplicate_id": F.col("_same_id").isNotNull(),
+        "duplicate_email": F.col("_same_email").isNotNull(),
     }
-    checked = people
     if existing is not None:
-        known = existing.select(F.col("student_id").alias("known_id")).distinct()
-        checked = people.join(known, F.col("original_id") == F.col("known_id"), "left")
-        rules["unknown_original"] = F.col("original_id").isNotNull() & (F.col("known_id").isNull() | same(F.col("original_id")))
+        known = existing.select(F.col("student_id").alias("_known_id")).distinct()
+        checked = _repeated(checked.join(known, F.col("original_id") == F.col("_known_id"), "left"), F.col("original_id"), "_same_original")
+        rules["unknown_original"] = F.col("original_id").isNotNull() & (F.col("_known_id").isNull() | F.col("_same_original").isNotNull())
     broken = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(True)), F.lit(k)) for k, v in rules.items()]))
     return checked.withColumn("violations", broken).select(*people.columns, "violations")
 
 
+def roster_size_error(people: DataFrame, most: int = 500) -> DataFrame:
+    """One row: what is wrong with the number of students, or null."""
+    n = F.count(F.lit(1))
+    return students(people).agg(F.when((n < 1) | (n > most), f"the roster needs 1 to {most} students").alias("error"))
+
+
 def assignment_violations(assignments: DataFrame) -> DataFrame:
     """``assignments`` (title, prompt, deadline, rubric, answer_key) with the array of rules that a row breaks."""
     size = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0))
-    missing = lambda c, most: F.coalesce(F.trim(c) == "", F.lit(True)) | (F.length(F.trim(c)) > most)
-    item = lambda x, name, most: F.coalesce(F.trim(x[name]) == "", F.lit(True)) | (F.length(F.trim(x[name])) > most)
+    missing = lambda c, most: F.coalesce(X.trimmed(F.col(c)) == "", F.lit(True)) | (F.length(X.trimmed(F.col(c))) > most)
+    item = lambda x, name, most: F.coalesce(X.trimmed(x[name]) == "", F.lit(True)) | (F.length(X.trimmed(x[name])) > most)
     span = lambda x: ~F.coalesce(x["max_points"].between(1, 1000), F.lit(False))
-    names = F.transform("rubric", lambda x: F.lower(F.trim(x["criterion"])))
+    names = F.transform("rubric", lambda x: F.lower(X.trimmed(x["criterion"])))
     rules = {
         "deadline": F.try_to_timestamp("deadline").isNull(),
         "rubric_size": size("rubric") > 20,

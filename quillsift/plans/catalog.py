@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsift.plans import record_queries, redaction_queries, review_queries
+from quillsift.plans import record_queries, redaction_queries, review_queries, step_queries
 
-QUERIES = redaction_queries.QUERIES | review_queries.QUERIES | record_queries.QUERIES
-SQL = redaction_queries.SQL | review_queries.SQL | record_queries.SQL
+QUERIES = redaction_queries.QUERIES | review_queries.QUERIES | record_queries.QUERIES | step_queries.QUERIES
+SQL = redaction_queries.SQL | review_queries.SQL | record_queries.SQL | step_queries.SQL

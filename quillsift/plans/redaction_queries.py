@@ -16,11 +16,13 @@ EMAIL_RE2 = r"(?:\[REDACTED\]|[\p{L}\p{N}._%+-])+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}
 RE2_WHITE = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 RE2_INK = RE2_WHITE.replace("[", "[^", 1)
 # A submission is a document under a header that names one of the roster's students.
-HEADER = """CASE doc_id % 4
-  WHEN 0 THEN first_name || ' ' || last_name || chr(10) || 'ID: ' || student_id || chr(10)
+HEADER = """CASE CAST(floor(doc_id / 8) AS BIGINT) % 6
+  WHEN 0 THEN first_name || ' ' || last_name || chr(10) || 'ID: ' || CASE WHEN doc_id % 2 = 0 THEN student_id ELSE translate(student_id, '012', 'OIZ') END || chr(10)
   WHEN 1 THEN last_name || ', ' || first_name || chr(10) || email || chr(10)
   WHEN 2 THEN ''
-  ELSE first_name || last_name || 'and others with ' || upper(last_name) || chr(10) END || text"""
+  WHEN 3 THEN first_name || last_name || 'and others with ' || upper(last_name) || chr(10) || 'Thanks to' || last_name || 'and friends' || chr(10)
+  WHEN 4 THEN 'Name:' || chr(10) || last_name || ' ' || first_name || chr(10) || 'Written by ' || first_name || chr(10) || replace(email, '.', ' dot ') || chr(10)
+  ELSE 'As ' || first_name || ' argued with ' || substring(last_name, 1, 3) || 'x' || substring(last_name, 4, 20) || ', it holds. ' || substring(first_name, 1, 1) || '. ' || substring(last_name, 1, 1) || '. agreed.' || chr(10) END || text"""
 SUBMISSIONS = f"""roster(n, student_id, first_name, last_name, email) AS (VALUES {values_sql()}),
 subs AS (SELECT doc_id, lang, student_id, {HEADER} AS text FROM documents JOIN roster ON doc_id % {len(STUDENTS)} = n)"""
 NORMAL = r"trim(regexp_replace(replace(replace(lower(strip_accents(text)), '''', ''), '’', ''), '[^\p{L}\p{N}]+', ' ', 'g'))"

@@ -141,11 +141,17 @@ def roster_violations(spark, sf_dir):
     return V.roster_violations(people).select("c_custkey", F.array_join("violations", ",").alias("violations"))
 
 
+def roster_size(spark, sf_dir):
+    """Whether the customers of a segment could be a roster."""
+    people = _read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.lit(None).cast("string").alias("role"))
+    return V.roster_size_error(people.where("segment = 'BUILDING'")).unionByName(V.roster_size_error(people))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         latest_grade, gradebook, ungraded_queue, submission_flags, roster_move, replaced_submissions, stale_count, grade_totals, approve_grades, score_submissions, clamp_points,
-        assignment_totals, student_states, image_verdicts, distinct_images, roster_violations,
+        assignment_totals, student_states, image_verdicts, distinct_images, roster_violations, roster_size,
     )
 }
 
@@ -156,6 +162,8 @@ _GRADE_TOTAL = f"CASE WHEN total_points > 0 THEN total_points WHEN has_rubric TH
 _STALE = f"has_rubric AND coalesce(assignment_version, 1) <> {VERSION}"
 
 SQL = {
+    "roster_size": """SELECT CASE WHEN count(*) NOT BETWEEN 1 AND 500 THEN 'the roster needs 1 to 500 students' END AS error FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT CASE WHEN count(*) NOT BETWEEN 1 AND 500 THEN 'the roster needs 1 to 500 students' END FROM customer""",
     "latest_grade": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'",
     "gradebook": f"""WITH {LAST_ORDERS}, {GRADES}, {_PEOPLE}, {_SUBS}, {_BUSY}
 SELECT p.student_id, name, submitted_at, CASE WHEN submitted_at IS NULL THEN 'missing' WHEN b.student_id IS NOT NULL THEN 'grading' ELSE coalesce(status, 'ungraded') END AS status,

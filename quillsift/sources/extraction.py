@@ -143,37 +143,44 @@ def _shape_lines(root: ElementTree.Element | None) -> list[str]:
     return lines
 
 
-def read_pptx(data: bytes) -> tuple[str, int]:
-    """Slides in the order of the presentation, each with its notes; number of pictures."""
+Pictures = list[tuple[bytes, int]]
+
+
+def _pictures(parts: Parts, relations: list[tuple[str, str, str]], place: int) -> Pictures:
+    """(content, place) of the pictures that a part shows; one that is not in the file is empty."""
+    return [(parts.read(target) or b"", place) for _, kind, target in relations if kind.endswith("/image")]
+
+
+def read_pptx(data: bytes) -> tuple[str, Pictures]:
+    """Slides in the order of the presentation, each with its notes; the pictures."""
     parts = Parts(data, ".pptx")
     root = parts.xml("ppt/presentation.xml")
     if root is None:
         raise Unreadable("that isn't a valid .pptx file")
     targets = {i: t for i, _, t in parts.relations("ppt/presentation.xml")}
-    slides, pictures = [], set()
+    slides, pictures = [], []
     for entry in root.iter(f"{_P}sldId"):
         path = targets.get(entry.get(f"{_R}id", ""))
         if path is None:
             continue  # a reference to nothing is no slide
         relations = parts.relations(path)
-        pictures |= {t for _, kind, t in relations if kind.endswith("/image")}
+        pictures += _pictures(parts, relations, len(slides))
         notes = next((t for _, kind, t in relations if kind.endswith("/notesSlide")), None)
         body = _shape_lines(parts.xml(path))
         said = _shape_lines(parts.xml(notes)) if notes else []
         slides.append("\n".join([f"Slide {len(slides) + 1}:", *body, *(["Notes:", *said] if said else [])]))
-    return "\n\n".join(slides), len(pictures)
+    return "\n\n".join(slides), pictures
 
 
-def read_docx(data: bytes) -> tuple[str, int]:
-    """Paragraphs, a blank line between them; number of pictures."""
+def read_docx(data: bytes) -> tuple[str, Pictures]:
+    """Paragraphs, a blank line between them; the pictures."""
     parts = Parts(data, ".docx")
     root = parts.xml("word/document.xml")
     if root is None:
         raise Unreadable("that isn't a valid .docx file")
     written = {f"{_W}t": None, f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
     paragraphs = ["".join((e.text or "") if written[e.tag] is None else written[e.tag] for e in p.iter() if e.tag in written) for p in root.iter(f"{_W}p")]
-    pictures = {t for _, kind, t in parts.relations("word/document.xml") if kind.endswith("/image")}
-    return "\n\n".join(paragraphs), len(pictures)
+    return "\n\n".join(paragraphs), _pictures(parts, parts.relations("word/document.xml"), 0)
 
 
 def without_links(data: bytes, kind: str = ".docx") -> bytes:
@@ -226,23 +233,69 @@ def clean(text: str) -> str:
 Reader = Callable[[bytes, str], dict]
 
 
+# What is a picture of writing, and what is a logo.
+LEAST_WORDS, LEAST_CONFIDENCE, LOGO_PIXELS = 2, 75, 400
+
+
+def picture_verdict(found: dict, uses: int, longer_side: int) -> str:
+    """What becomes of a picture that was read."""
+    import regex
+
+    said = found.get("text") or ""
+    words = len(regex.findall(r"[\p{L}\p{N}]{2,}", said))
+    tokens = said.split()
+    written = sum(bool(regex.fullmatch(r"[\p{L}'’]{3,}[.,;:!?]?", t)) for t in tokens)
+    if words >= LEAST_WORDS and (found.get("ocr_confidence") or 0) >= LEAST_CONFIDENCE:
+        return "kept"
+    if words < LEAST_WORDS and (uses > 1 or longer_side <= LOGO_PIXELS):
+        return "dropped"
+    return "unreadable" if written >= 10 and 2 * written >= len(tokens) else "skipped"
+
+
+def with_pictures(text: str, pictures: Pictures, reader: Reader | None) -> dict:
+    """A text with that of its pictures at its end, the least confidence of what was kept, and counts of what was not."""
+    kept, counts, confidence = [text], {"unreadable": 0, "skipped": 0, "dropped": 0, "kept": 0}, []
+    counts["skipped"] += len({content for content, _ in pictures if not content.startswith((PNG, JPEG))})
+    shown = distinct_pictures(pictures, most=len(pictures))
+    for number, (content, _, uses) in enumerate(shown):
+        if reader is None or number >= MOST_PICTURES:
+            counts["skipped"] += 1
+            continue
+        try:
+            check_image(content)
+            found = reader(content, ".png" if content.startswith(PNG) else ".jpg")
+        except Unreadable:
+            counts["skipped"] += 1
+            continue
+        verdict = picture_verdict(found, uses, max(image_size(content)))
+        counts[verdict] += 1
+        if verdict == "kept":
+            kept.append(found["text"].strip())
+            confidence.append(float(found["ocr_confidence"]))
+    joined = clean("\n\n".join(x for x in kept if x.strip()))
+    return {"text": joined, "ocr_confidence": min(confidence, default=None), "unreadable_images": counts["unreadable"], "skipped_images": counts["skipped"]}
+
+
+#: Pictures of one document that are read.
+MOST_PICTURES = 20
+
+
 def extract(data: bytes, ext: str, reader: Reader | None = None) -> dict:
-    """Text and image counts of one file. Pictures without a ``reader`` of images count as skipped."""
+    """Text and image counts of one file; pictures inside an office file go to the reader, or count as skipped without one.
+
+    Office files are read without what they would load from outside.
+    """
     check_signature(data, ext)
-    pictures = 0
     if ext in (".txt", ".md"):
-        text = data.decode("utf-8", "replace")
-    elif ext == ".docx":
-        text, pictures = read_docx(data)
-    elif ext == ".pptx":
-        text, pictures = read_pptx(data)
-    else:
-        if ext in (".png", ".jpg", ".jpeg"):
-            check_image(data)
-        if reader is None:
-            raise Unreadable(f"{ext} files can't be read here")
-        return {"ocr_confidence": None, "unreadable_images": 0, "skipped_images": 0} | (found := reader(data, ext)) | {"text": clean(found.get("text", ""))}
-    return {"text": clean(text), "ocr_confidence": None, "unreadable_images": 0, "skipped_images": pictures}
+        return with_pictures(data.decode("utf-8", "replace"), [], reader)
+    if ext in (".docx", ".pptx"):
+        return with_pictures(*(read_docx if ext == ".docx" else read_pptx)(without_links(data, ext)), reader)
+    if ext in (".png", ".jpg", ".jpeg"):
+        check_image(data)
+    if reader is None:
+        raise Unreadable(f"{ext} files can't be read here")
+    found = reader(data, ext)
+    return {"ocr_confidence": None, "unreadable_images": 0, "skipped_images": 0} | found | {"text": clean(found.get("text", ""))}
 
 
 def extracted(files: DataFrame, reader: Reader | None = None) -> DataFrame:

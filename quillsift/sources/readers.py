@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillsift.functions import text as X
+
 PERSON = "role string, studentId string, firstName string, lastName string, email string, studentView boolean"
 SUBMISSION = "studentId string, file string, submittedAt timestamp"
 _ITEM = "array<struct<criterion: string, maxPoints: int, description: string>>"
@@ -66,13 +68,15 @@ def parsed_uploads(uploads: DataFrame) -> DataFrame:
     # What may be uploaded, and how much.
     types = (".txt", ".md", ".docx", ".doc", ".pdf", ".pptx", ".ppt", ".png", ".jpg", ".jpeg")
     largest = 15 * 1024 * 1024
-    pasted = F.coalesce(F.trim("text") != "", F.lit(False))
+    essay = X.trimmed(F.col("text"))
+    pasted = F.coalesce(essay != "", F.lit(False))
     filed = F.col("file_name").isNotNull() & F.col("file_base64").isNotNull()
     out = uploads.withColumn("ext", F.when(pasted, F.lit(".txt")).when(filed, extension(F.col("file_name"))))
-    out = out.withColumn("content", F.when(pasted, F.encode(F.trim("text"), "utf-8")).when(filed, F.expr("try_to_binary(file_base64, 'base64')")))
+    out = out.withColumn("content", F.when(pasted, F.encode(essay, "utf-8")).when(filed, F.expr("try_to_binary(file_base64, 'base64')")))
     error = (
         F.when(~pasted & ~filed, "paste your essay or choose a file")
         .when(~F.col("ext").isin(*types), "file must be one of " + ", ".join(types))
         .when(F.octet_length("content") > largest, "file is larger than 15 MB")
+        .when(F.col("content").isNull(), "could not read that file")
     )
     return out.withColumn("error", error)

@@ -97,6 +97,17 @@ def test_links_blank_pages_and_pictures():
     assert E.distinct_pictures([(png(200, 10), 3), (png(50, 50), 1), (b"GIF", 1), (png(200, 10), 5)]) == [(png(200, 10), 3, 2)]
 
 
+def test_pictures_inside_files_are_read():
+    rels = f'<Relationships><Relationship Id="1" Type="{REL}/image" Target="media/a.png"/><Relationship Id="2" Type="{REL}/image" Target="media/b.png"/><Relationship Id="3" Type="{REL}/image" Target="media/c.png"/><Relationship Id="4" Type="{REL}/image" Target="media/d.emf"/></Relationships>'
+    body = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>Typed</w:t></w:r></w:p></w:document>'
+    file = archive({"word/document.xml": body, "word/_rels/document.xml.rels": rels, "word/media/a.png": png(600, 500), "word/media/b.png": png(700, 90), "word/media/c.png": png(90, 50), "word/media/d.emf": b"x"})
+    said = {600: ("Two words here", 91.0), 700: ("long words that nobody could read with any confidence at all whatever", 20.0)}
+    read = lambda data, ext: dict(zip(("text", "ocr_confidence"), said[E.image_size(data)[0]], strict=True))
+    assert E.extract(file, ".docx", read) == {"text": "Typed\n\nTwo words here", "ocr_confidence": 91.0, "unreadable_images": 1, "skipped_images": 1}
+    assert E.extract(file, ".docx") == {"text": "Typed", "ocr_confidence": None, "unreadable_images": 0, "skipped_images": 3}
+    assert [E.picture_verdict({"text": t, "ocr_confidence": c}, u, w) for t, c, u, w in (("x", 99, 1, 500), ("x", 99, 2, 500), ("x", 99, 1, 400), ("ab cd", 75, 1, 1), ("ab cd", 74.9, 1, 1))] == ["skipped", "dropped", "dropped", "kept", "skipped"]
+
+
 def test_signatures():
     assert E.SIGNATURES[".doc"](b"{\\rtf1") and E.SIGNATURES[".doc"](E.OLE + "WordDocument".encode("utf-16-le")) and not E.SIGNATURES[".ppt"](E.OLE)
     assert E.SIGNATURES[".pdf"](b"x" * 1000 + b"%PDF-1.7")
@@ -128,9 +139,9 @@ def test_readers(spark, tmp_path):
 
 
 def test_uploads(spark):
-    rows = [(" essay ", "x.exe", "eA=="), (None, "a/b.Md", base64.b64encode(b"hi").decode()), (None, "x.exe", "eA=="), ("  ", None, None)]
+    rows = [("\u00a0\n essay \n", "x.exe", "eA=="), ("\u00a0\n", "x.md", "!"), (None, "a/b.Md", base64.b64encode(b"hi").decode()), (None, "x.exe", "eA=="), ("  ", None, None)]
     got = readers.parsed_uploads(spark.createDataFrame(rows, "text string, file_name string, file_base64 string")).collect()
-    assert [(r["ext"], None if r["content"] is None else bytes(r["content"]), (r["error"] or "")[:4]) for r in got] == [(".txt", b"essay", ""), (".md", b"hi", ""), (".exe", b"x", "file"), (None, None, "past")]
+    assert [(r["ext"], None if r["content"] is None else bytes(r["content"]), (r["error"] or "")[:4]) for r in got] == [(".txt", b"essay", ""), (".md", None, "coul"), (".md", b"hi", ""), (".exe", b"x", "file"), (None, None, "past")]
 
 
 RUBRIC = [{"criterion": "Thesis", "maxPoints": 60, "description": "x"}, {"criterion": "Evidence", "maxPoints": 40, "description": "y"}]
