@@ -23,6 +23,8 @@ BYTE_SCORE = -25.0
 #: Longer pre-tokens are computed alone, so that one of them does not fill the trie.
 LONGEST = 64
 MOST_NODES = 250_000
+#: Bytes of words whose counts are remembered, of each of two generations.
+MOST_BYTES = 48 << 20
 
 
 def default_pieces() -> str:
@@ -60,7 +62,7 @@ class ForwardTrie:
 
     def clear(self) -> None:
         self.root: list = [0.0, 0, {}]
-        self.nodes = 1
+        self.nodes, self.held = 1, 0
         self.older, self.counts = self.counts, {}
 
     def _extend(self, word: str, begin: int, path: list, keep: bool) -> list:
@@ -105,11 +107,12 @@ class ForwardTrie:
         return node[1]
 
     def text_count(self, words: list[bytes]) -> int:
-        if self.nodes > MOST_NODES:
+        if self.nodes > MOST_NODES or self.held > MOST_BYTES:
             self.clear()
         known, older = self.counts, self.older
         for w in sorted({w for w in words if w not in known}):
             n = older.get(w)
+            self.held += 140 + len(w)
             known[w] = self.count(MARK + w.decode("utf-8", "replace")) if n is None else n
         return sum(map(known.__getitem__, words))
 
