@@ -8,7 +8,9 @@ proper distribution. Before training, the biases alone make it equal to the smoo
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 
@@ -17,13 +19,11 @@ CLASSES, PER_CLASS = 48, 64
 OWN_WORDS = CLASSES * PER_CLASS
 #: The class, and the input, of all words that are not the LM's own.
 OTHER = OWN_WORDS
+#: Words that a state is carried over in training, at most; in scoring it is carried over whole texts.
+SECTION = 4096
 NAMES = ("x", "u", "class_w", "class_b", "word_w", "word_b")
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-a))
-
-
 @dataclass
 class GatedLM:
     """x: input tables of the gates (words x 3 widths); u: recurrent weights; class_*, word_*: output layers."""
@@ -71,62 +71,80 @@ class GatedLM:
         return cls(*out)
 
     def states(self, ids: np.ndarray, h: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """``ids``: steps x texts. The state before each word, and the one after the last."""
+        """``ids``: steps x texts. The state before each word, and the one after the last.
+
+        Inside, texts are the last axis, so that the gates are contiguous.
+        """
         steps, texts = ids.shape
         w = WIDTH
-        before = np.empty((steps, texts, w), np.float32)
-        memory = [np.empty((steps, texts, w), np.float32) for _ in range(4)] if keep is not None else []
+        gates = np.ascontiguousarray(self.x[ids].transpose(0, 2, 1))
+        u = np.ascontiguousarray(self.u.T)
+        h = np.ascontiguousarray(h.T)
+        before = np.empty((steps, w, texts), np.float32)
+        recurrent = np.empty((steps if keep is not None else 1, w, texts), np.float32)
         for t in range(steps):
             before[t] = h
-            gates, hu = self.x[ids[t]], h @ self.u
-            zr = _sigmoid(gates[:, : 2 * w] + hu[:, : 2 * w])
-            z, r = zr[:, :w], zr[:, w:]
-            n = np.tanh(gates[:, 2 * w :] + r * hu[:, 2 * w :])
+            hu, zr, n = u @ h, gates[t, : 2 * w], gates[t, 2 * w :]
+            zr += hu[: 2 * w]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1.0
+            np.reciprocal(zr, out=zr)
             if keep is not None:
-                for store, value in zip(memory, (z, r, n, hu[:, 2 * w :]), strict=True):
-                    store[t] = value
-            h = n + z * (h - n)
+                recurrent[t] = hu[2 * w :]
+            n += zr[w:] * hu[2 * w :]
+            np.tanh(n, out=n)
+            h = n + zr[:w] * (h - n)
         if keep is not None:
-            keep["memory"] = memory
-        return before, h
+            keep["memory"] = before, gates, recurrent
+        return np.ascontiguousarray(before.transpose(0, 2, 1)), np.ascontiguousarray(h.T)
 
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray, gradients: dict | None = None) -> np.ndarray:
         """Natural log of the probability of each word (of the class, for OTHER) after each state."""
         own_class = np.minimum(ids // PER_CLASS, CLASSES)
-        logits = h @ self.class_w + self.class_b
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        rows = np.arange(len(ids))
-        out = logits[rows, own_class] - np.log(total)
+        order = np.argsort(own_class, kind="stable")
+        own_class, places = own_class[order], ids[order] % PER_CLASS
+        cuts = np.searchsorted(own_class, np.arange(CLASSES + 1))
+        # Words are the last axis and lie class by class from here on.
+        across = np.ascontiguousarray(h[order].T)
+        logits = self.class_w.T @ across
+        logits += self.class_b[:, None]
+        logits -= logits.max(0)
+        counted = np.arange(len(ids))
+        log_p = logits[own_class, counted]
+        np.exp(logits, out=logits)
+        total = logits.sum(0)
+        log_p -= np.log(total)
         if gradients is not None:
-            d = e / total[:, None]
-            d[rows, own_class] -= 1.0
-            gradients["class_w"] = h.T @ d
-            gradients["class_b"] = d.sum(0)
-            dh = d @ self.class_w.T
+            logits /= total
+            logits[own_class, counted] -= 1.0
+            gradients["class_w"], gradients["class_b"] = across @ logits.T, logits.sum(1)
+            dh = self.class_w @ logits
             gw, gb = np.zeros_like(self.word_w), np.zeros_like(self.word_b)
-        order = np.argsort(own_class, kind="stable")
-        cuts = np.searchsorted(own_class[order], np.arange(CLASSES + 1))
+        picked, totals = np.zeros(cuts[-1], logits.dtype), np.ones(cuts[-1], logits.dtype)
         for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at):
+            at = slice(cuts[c], cuts[c + 1])
+            if cuts[c] == cuts[c + 1]:
                 continue
-            hc = h[at]
-            inner = hc @ self.word_w[c] + self.word_b[c]
-            inner -= inner.max(1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(1)
-            place = ids[at] % PER_CLASS
-            rows = np.arange(len(at))
-            out[at] += inner[rows, place] - np.log(total)
+            inner = self.word_w[c].T @ across[:, at]
+            inner += self.word_b[c][:, None]
+            inner -= inner.max(0)
+            rows = counted[: cuts[c + 1] - cuts[c]]
+            picked[at] = inner[places[at], rows]
+            np.exp(inner, out=inner)
+            total = totals[at] = inner.sum(0)
             if gradients is not None:
-                d = e / total[:, None]
-                d[rows, place] -= 1.0
-                gw[c], gb[c] = hc.T @ d, d.sum(0)
-                dh[at] += d @ self.word_w[c].T
+                inner /= total
+                inner[places[at], rows] -= 1.0
+                gw[c], gb[c] = across[:, at] @ inner.T, inner.sum(1)
+                dh[:, at] += self.word_w[c] @ inner
+        log_p[: cuts[-1]] += picked - np.log(totals)
+        out = np.empty_like(log_p)
+        out[order] = log_p
         if gradients is not None:
-            gradients["word_w"], gradients["word_b"], gradients["h"] = gw, gb, dh
+            gradients["h"] = np.empty_like(h)
+            gradients["h"][order] = dh.T
+            gradients["word_w"], gradients["word_b"] = gw, gb
         return out
 
 
@@ -166,39 +184,56 @@ class Trainer:
         dh_out = np.zeros((before.shape[0] * before.shape[1], w), np.float32)
         dh_out[at] = g["h"] * scale
         dh_out = dh_out.reshape(before.shape)
-        z, r, n, hn = keep["memory"]
-        dx = np.empty((*ids.shape, 3 * w), np.float32)
-        du = np.zeros_like(model.u)
-        dh = np.zeros_like(h)
+        before, gates, recurrent = keep["memory"]
+        z, r, n = gates[:, :w], gates[:, w : 2 * w], gates[:, 2 * w :]
+        # What a step multiplies the gradient of its state by, for all steps at once.
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = recurrent * r * (1 - r)
+        dh_out = np.ascontiguousarray(dh_out.transpose(0, 2, 1))
+        dx, dhu = np.empty_like(gates), np.empty_like(gates)
+        dh = np.zeros_like(before[0])
         for t in range(len(ids) - 1, -1, -1):
-            dn = dh * (1 - z[t]) * (1 - n[t] * n[t])
-            dz = dh * (before[t] - n[t]) * z[t] * (1 - z[t])
-            dr = dn * hn[t] * r[t] * (1 - r[t])
-            dx[t, :, :w], dx[t, :, w : 2 * w], dx[t, :, 2 * w :] = dz, dr, dn
-            dhu = np.concatenate([dz, dr, dn * r[t]], 1)
-            du += before[t].T @ dhu
-            dh = dh * z[t] + dhu @ model.u.T + dh_out[t]
+            d, dn = dhu[t], dx[t, 2 * w :]
+            np.multiply(dh, to_n[t], out=dn)
+            np.multiply(dh, to_z[t], out=d[:w])
+            np.multiply(dn, to_r[t], out=d[w : 2 * w])
+            np.multiply(dn, r[t], out=d[2 * w :])
+            dh *= z[t]
+            dh += model.u @ d
+            dh += dh_out[t]
+        dx[:, : 2 * w] = dhu[:, : 2 * w]
+        du = before.transpose(1, 0, 2).reshape(w, -1) @ dhu.transpose(0, 2, 1).reshape(-1, 3 * w)
+        dx = dx.transpose(0, 2, 1).reshape(-1, 3 * w)
         flat = ids.ravel()
         order = np.argsort(flat, kind="stable")
         begin = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
         gx = np.zeros_like(model.x)
-        gx[flat[order[begin]]] = np.add.reduceat(dx.reshape(-1, 3 * w)[order], begin, axis=0)
+        gx[flat[order[begin]]] = np.add.reduceat(dx[order], begin, axis=0)
         self._apply([gx, du, g["class_w"] * scale, g["class_b"] * scale, g["word_w"] * scale, g["word_b"] * scale])
         return after
 
-    def train(self, texts: list[np.ndarray], seed: int = 5) -> int:
-        """One pass over texts (arrays of word ids). The state is carried from window to window of a text."""
-        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        groups = [order[i : i + self.texts] for i in range(0, len(order), self.texts)]
-        for k in np.random.default_rng(seed).permutation(len(groups)):
-            group = [texts[i] for i in groups[k]]
-            h = np.zeros((len(group), WIDTH), np.float32)
-            for begin in range(0, max(map(len, group)), self.steps):
-                going = [i for i, t in enumerate(group) if len(t) > begin]
-                ids, valid = padded([group[i][begin : begin + self.steps] for i in going])
-                h = self.window(ids, valid, h[going])
-                group = [group[i] for i in going]
-        return sum(map(len, texts))
+    def train(self, texts: Iterable[np.ndarray]) -> int:
+        """One pass over texts (arrays of word ids); the number of words.
+
+        ``self.texts`` of them run side by side; one that ends makes way for the next. The state is carried
+        from window to window of a text; texts beyond SECTION words are learned from in sections, each
+        of which starts from the empty state, so that no long text runs alone to its end.
+        """
+        sections = (t[at : at + SECTION] for t in texts for at in range(0, len(t), SECTION))
+        lanes: list[np.ndarray] = []
+        h, seen = np.zeros((0, WIDTH), np.float32), 0
+        while True:
+            new = list(islice(sections, self.texts - len(lanes)))
+            if not lanes and not new:
+                return seen
+            lanes += new
+            h = np.concatenate([h, np.zeros((len(new), WIDTH), np.float32)])
+            ids, valid = padded([t[: self.steps] for t in lanes])
+            h = self.window(ids, valid, h)
+            seen += int(valid.sum())
+            on = [i for i, t in enumerate(lanes) if len(t) > self.steps]
+            lanes, h = [lanes[i][self.steps :] for i in on], h[on]
 
 
 def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,19 +245,28 @@ def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(ids.T), valid
 
 
-def log10_probabilities(model: GatedLM, texts: list[np.ndarray], steps: int = 64, together: int = 256) -> np.ndarray:
-    """Log10 probability of each whole text (classes only for OTHER), the state carried across windows."""
+def log10_probabilities(model: GatedLM, texts: list[np.ndarray], together: int = 256, words: int = 16_384) -> np.ndarray:
+    """Log10 probability of each whole text (classes only for OTHER), the state carried across windows.
+
+    The longest texts start; one that ends makes way for the next. A window has about ``words`` words, so
+    that the last texts go in long windows.
+    """
     out = np.zeros(len(texts))
-    order = sorted((i for i in range(len(texts)) if len(texts[i])), key=lambda i: -len(texts[i]))
-    for at in range(0, len(order), together):
-        group = np.array(order[at : at + together])
-        h = np.zeros((len(group), WIDTH), np.float32)
-        for begin in range(0, len(texts[group[0]]), steps):
-            going = sum(len(texts[i]) > begin for i in group)
-            group, h = group[:going], h[:going]
-            ids, valid = padded([texts[i][begin : begin + steps] for i in group])
-            before, h = model.states(ids, h)
-            flat = np.flatnonzero(valid.ravel())
-            p = model.log_probabilities(before.reshape(-1, WIDTH)[flat], ids.ravel()[flat])
-            out[group] += np.bincount(flat % len(group), weights=p.astype(np.float64), minlength=len(group))
-    return out / np.log(10.0)
+    waiting = iter(sorted((i for i in range(len(texts)) if len(texts[i])), key=lambda i: -len(texts[i])))
+    lanes, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.zeros((0, WIDTH), np.float32)
+    while True:
+        new = list(islice(waiting, together - len(lanes)))
+        if not len(lanes) and not new:
+            return out / np.log(10.0)
+        lanes, at = np.r_[lanes, new].astype(np.int64), np.r_[at, np.zeros(len(new), np.int64)]
+        h = np.concatenate([h, np.zeros((len(new), WIDTH), np.float32)])
+        steps = words // min(len(lanes), together)
+        ids, valid = padded([texts[i][a : a + steps] for i, a in zip(lanes, at, strict=True)])
+        before, h = model.states(ids, h)
+        flat = np.flatnonzero(valid.ravel())
+        p = model.log_probabilities(before.reshape(-1, WIDTH)[flat], ids.ravel()[flat])
+        out[lanes] += np.bincount(flat % len(lanes), weights=p.astype(np.float64), minlength=len(lanes))
+        at += steps
+        on = np.array([len(texts[i]) for i in lanes]) > at
+        lanes, at, h = lanes[on], at[on], h[on]

@@ -31,8 +31,8 @@ END = b"\n"
 #: Texts that the driver starts with, at most (in expectation); rounds that the one pass over all texts is split into.
 START_TEXTS = 1500
 ROUNDS = 2
-#: Texts that a task trains on together, its rate, and models that are averaged at once.
-TOGETHER, RATE, FAN_IN = 256, 0.01, 16
+#: Texts that a task trains on side by side, its rate, and models that are averaged at once.
+TOGETHER, RATE, FAN_IN = 128, 0.02, 16
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -139,9 +139,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, sent, rounds: int = ROUND
 
         def local(frames: Iterator[pd.DataFrame], blob=blob) -> Iterator[pd.DataFrame]:
             places, own = _places(sent), GatedLM.from_bytes(blob.value)
-            trainer, seen = Trainer(own, rate=RATE, texts=TOGETHER), 0
-            for frame in frames:
-                seen += trainer.train([_own_ids(tokens(t), places) for t in frame["text"]]) if len(frame) else 0
+            seen = Trainer(own, rate=RATE, texts=TOGETHER).train(_own_ids(tokens(t), places) for frame in frames for t in frame["text"])
             if seen:
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "words": [seen], "model": [own.to_bytes()]})
 

@@ -289,6 +289,25 @@ def test_model_is_a_distribution_and_learns():
     assert np.allclose(gated_lm.log10_probabilities(model, mixed), alone, rtol=1e-4)
 
 
+def test_training_reads_each_word_once_and_windows_do_not_change_scores(monkeypatch):
+    monkeypatch.setattr(gated_lm, "SECTION", 50)
+    rnd = np.random.default_rng(6)
+    data = [rnd.integers(0, 200, n) for n in (1, 400, 0, 49, 50, 51, 33, 7)]
+    model = gated_lm.GatedLM.unigram(np.ones(200), 5.0)
+    trainer, fed = gated_lm.Trainer(model, steps=16, texts=3), []
+    window = trainer.window
+
+    def spy(ids, valid, h):
+        fed.extend(ids[valid].tolist())
+        return window(ids, valid, h)
+
+    trainer.window = spy
+    assert trainer.train(iter(data)) == 591
+    assert sorted(fed) == sorted(np.concatenate(data).tolist())
+    assert np.allclose(gated_lm.log10_probabilities(model, data, together=2, words=10), gated_lm.log10_probabilities(model, data), rtol=1e-4)
+    assert gated_lm.Trainer(model).train([]) == 0
+
+
 def test_gradients_match_differences():
     rnd = np.random.default_rng(3)
     model = gated_lm.GatedLM.unigram(np.ones(200), 5.0)
