@@ -32,7 +32,7 @@ END = b"\n"
 START_TEXTS = 1500
 ROUNDS = 2
 #: Texts that a task trains on side by side, its rate, and models that are averaged at once.
-TOGETHER, RATE, FAN_IN = 128, 0.02, 16
+TOGETHER, RATE, FAN_IN = 128, 0.01, 16
 
 
 def tokens(text: str | None) -> list[bytes]:
