@@ -308,6 +308,31 @@ def test_training_reads_each_word_once_and_windows_do_not_change_scores(monkeypa
     assert gated_lm.Trainer(model).train([]) == 0
 
 
+def test_scores_match_a_plain_walk_over_the_words():
+    rnd = np.random.default_rng(8)
+    model = gated_lm.GatedLM.unigram(rnd.integers(1, 90, gated_lm.OWN_WORDS) + 0.1, 700.0)
+    for a in model.arrays():
+        a += rnd.standard_normal(a.shape).astype(np.float32) * 0.2
+    w = gated_lm.WIDTH
+    data = [rnd.integers(0, gated_lm.OWN_WORDS + 1, n) for n in (300, 1, 0, 65, 64)]
+
+    def plain(text):
+        h, total = np.zeros(w), 0.0
+        for word in text:
+            c = min(word // gated_lm.PER_CLASS, gated_lm.CLASSES)
+            over = np.exp(h @ model.class_w + model.class_b)
+            total += math.log10(over[c] / over.sum())
+            if word != gated_lm.OTHER:
+                within = np.exp(h @ model.word_w[c] + model.word_b[c])
+                total += math.log10(within[word % gated_lm.PER_CLASS] / within.sum())
+            x, u = model.x[word], h @ model.u
+            z, r = (1 / (1 + np.exp(-(x[k : k + w] + u[k : k + w]))) for k in (0, w))
+            h = (1 - z) * np.tanh(x[2 * w :] + r * u[2 * w :]) + z * h
+        return total
+
+    assert np.allclose(gated_lm.log10_probabilities(model, data), [plain(t) for t in data], rtol=1e-4)
+
+
 def test_gradients_match_differences():
     rnd = np.random.default_rng(3)
     model = gated_lm.GatedLM.unigram(np.ones(200), 5.0)
