@@ -157,6 +157,8 @@ class Trainer:
     steps: int = 32
     texts: int = 32
     done: int = 0
+    #: How much of the window is words. The rate goes with it: the last texts, few side by side, would carry the model away.
+    filled: float = 1.0
     moments: list = field(default_factory=list)
 
     def _apply(self, gradients: list[np.ndarray]) -> None:
@@ -170,7 +172,7 @@ class Trainer:
             g = g * np.float32(scale)
             m += np.float32(0.1) * (g - m)
             v += np.float32(0.01) * (g * g - v)
-            a -= np.float32(self.rate * fix) * m / (np.sqrt(v) + np.float32(1e-6))
+            a -= np.float32(self.rate * self.filled * fix) * m / (np.sqrt(v) + np.float32(1e-6))
 
     def window(self, ids: np.ndarray, valid: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One update over a window; the state that the next window starts from."""
@@ -181,6 +183,7 @@ class Trainer:
         g: dict = {}
         model.log_probabilities(before.reshape(-1, w)[at], ids.ravel()[at], g)
         scale = np.float32(1.0 / len(at))
+        self.filled = len(at) / (self.steps * self.texts)
         dh_out = np.zeros((before.shape[0] * before.shape[1], w), np.float32)
         dh_out[at] = g["h"] * scale
         dh_out = dh_out.reshape(before.shape)
