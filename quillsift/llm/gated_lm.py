@@ -102,15 +102,15 @@ class GatedLM:
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray, gradients: dict | None = None) -> np.ndarray:
         """Natural log of the probability of each word (of the class, for OTHER) after each state."""
         own_class = np.minimum(ids // PER_CLASS, CLASSES)
-        order = np.argsort(own_class, kind="stable")
+        order = np.argsort(own_class.astype(np.uint8), kind="stable")
         own_class, places = own_class[order], ids[order] % PER_CLASS
         cuts = np.searchsorted(own_class, np.arange(CLASSES + 1))
-        # Words are the last axis and lie class by class from here on.
-        across = np.ascontiguousarray(h[order].T)
-        logits = self.class_w.T @ across
+        rows, counted = h[order], np.arange(len(ids))
+        # Classes are the first axis and words the last: sums over classes run over contiguous words.
+        logits = self.class_w.T @ rows.T
         logits += self.class_b[:, None]
-        logits -= logits.max(0)
-        counted = np.arange(len(ids))
+        if not _tame(self.class_w, self.class_b):
+            logits -= logits.max(0)
         log_p = logits[own_class, counted]
         np.exp(logits, out=logits)
         total = logits.sum(0)
@@ -118,36 +118,63 @@ class GatedLM:
         if gradients is not None:
             logits /= total
             logits[own_class, counted] -= 1.0
-            gradients["class_w"], gradients["class_b"] = across @ logits.T, logits.sum(1)
-            dh = self.class_w @ logits
+            gradients["class_w"], gradients["class_b"] = rows.T @ logits.T, logits.sum(1)
+            dh = logits.T @ self.class_w.T
             gw, gb = np.zeros_like(self.word_w), np.zeros_like(self.word_b)
-        picked, totals = np.zeros(cuts[-1], logits.dtype), np.ones(cuts[-1], logits.dtype)
-        for c in range(CLASSES):
-            at = slice(cuts[c], cuts[c + 1])
-            if cuts[c] == cuts[c + 1]:
-                continue
-            inner = self.word_w[c].T @ across[:, at]
-            inner += self.word_b[c][:, None]
-            inner -= inner.max(0)
-            rows = counted[: cuts[c + 1] - cuts[c]]
-            picked[at] = inner[places[at], rows]
-            np.exp(inner, out=inner)
-            total = totals[at] = inner.sum(0)
+        for classes in _of_like_size(np.diff(cuts)):
+            # Classes x words x places; a class with fewer words repeats its last one, which counts for nothing.
+            sizes = cuts[classes + 1] - cuts[classes]
+            turn = np.arange(sizes[0])
+            at = cuts[classes][:, None] + np.minimum(turn, sizes[:, None] - 1)
+            real = turn < sizes[:, None]
+            w, b = self.word_w[classes], self.word_b[classes]
+            states = rows[at]
+            inner = states @ w
+            inner += b[:, None, :]
+            if not _tame(w, b):
+                inner -= inner.max(2, keepdims=True)
+            flat = inner.reshape(-1, PER_CLASS)
+            picked = np.arange(at.size) * PER_CLASS + places[at].ravel()
+            chosen = flat.ravel()[picked]
+            np.exp(flat, out=flat)
+            total = flat @ np.ones(PER_CLASS, flat.dtype)
+            log_p[at[real]] += (chosen - np.log(total))[real.ravel()]
             if gradients is not None:
-                inner /= total
-                inner[places[at], rows] -= 1.0
-                gw[c], gb[c] = across[:, at] @ inner.T, inner.sum(1)
-                dh[:, at] += self.word_w[c] @ inner
-        log_p[: cuts[-1]] += picked - np.log(totals)
+                flat /= total[:, None]
+                flat.ravel()[picked] -= 1.0
+                if sizes[-1] < sizes[0]:
+                    flat[~real.ravel()] = 0.0
+                gw[classes], gb[classes] = states.transpose(0, 2, 1) @ inner, inner.sum(1)
+                dh[at[real]] += (inner @ w.transpose(0, 2, 1))[real]
         out = np.empty_like(log_p)
         out[order] = log_p
         if gradients is not None:
             gradients["h"] = np.empty_like(h)
-            gradients["h"][order] = dh.T
+            gradients["h"][order] = dh
             gradients["word_w"], gradients["word_b"] = gw, gb
         return out
 
 
+def _tame(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether exp of all sums w'h + b is safe as it is: no state goes beyond -1 and 1, so |w| bounds their size."""
+    reach = np.abs(w).sum(-2)
+    return bool((b + reach).max() < 80 and (b - reach).max(-1).min() > -80)
+
+
+def _of_like_size(sizes: np.ndarray) -> list[np.ndarray]:
+    """Places of the sizes above 0 in groups, largest first; within a group none is under half of the first."""
+    order = np.argsort(-sizes, kind="stable")
+    out, begin = [], 0
+    for k in range(len(order) + 1):
+        if k == len(order) or not sizes[order[k]] or 2 * sizes[order[k]] < sizes[order[begin]]:
+            if k > begin:
+                out.append(order[begin:k])
+            begin = k
+            if k == len(order) or not sizes[order[k]]:
+                break
+    return out
+
+
 @dataclass
 class Trainer:
     """Truncated backpropagation through windows of ``steps`` words, with Adam."""
@@ -163,16 +190,23 @@ class Trainer:
 
     def _apply(self, gradients: list[np.ndarray]) -> None:
         if not self.moments:
-            self.moments = [(np.zeros_like(a), np.zeros_like(a)) for a in self.model.arrays()]
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in gradients)))
-        scale = min(1.0, 1.0 / (norm + 1e-12))
+            self.moments = [(np.zeros_like(a), np.zeros_like(a), np.empty_like(a)) for a in self.model.arrays()]
+        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in gradients)))
+        scale = np.float32(min(1.0, 1.0 / (norm + 1e-12)))
         self.done += 1
         fix = (1 - 0.99**self.done) ** 0.5 / (1 - 0.9**self.done)
-        for a, g, (m, v) in zip(self.model.arrays(), gradients, self.moments, strict=True):
-            g = g * np.float32(scale)
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.01) * (g * g - v)
-            a -= np.float32(self.rate * self.filled * fix) * m / (np.sqrt(v) + np.float32(1e-6))
+        for a, g, (m, v, by) in zip(self.model.arrays(), gradients, self.moments, strict=True):
+            m *= np.float32(0.9)
+            m += np.multiply(g, np.float32(0.1) * scale, out=by)
+            np.multiply(g, g, out=by)
+            by *= np.float32(0.01) * scale * scale
+            v *= np.float32(0.99)
+            v += by
+            np.sqrt(v, out=by)
+            by += np.float32(1e-6)
+            np.divide(m, by, out=by)
+            by *= np.float32(self.rate * self.filled * fix)
+            a -= by
 
     def window(self, ids: np.ndarray, valid: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One update over a window; the state that the next window starts from."""
@@ -206,10 +240,10 @@ class Trainer:
             dh += model.u @ d
             dh += dh_out[t]
         dx[:, : 2 * w] = dhu[:, : 2 * w]
-        du = before.transpose(1, 0, 2).reshape(w, -1) @ dhu.transpose(0, 2, 1).reshape(-1, 3 * w)
+        du = (before @ dhu.transpose(0, 2, 1)).sum(0)
         dx = dx.transpose(0, 2, 1).reshape(-1, 3 * w)
         flat = ids.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
         begin = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
         gx = np.zeros_like(model.x)
         gx[flat[order[begin]]] = np.add.reduceat(dx[order], begin, axis=0)
@@ -268,7 +302,9 @@ def log10_probabilities(model: GatedLM, texts: list[np.ndarray], together: int =
         ids, valid = padded([texts[i][a : a + steps] for i, a in zip(lanes, at, strict=True)])
         before, h = model.states(ids, h)
         flat = np.flatnonzero(valid.ravel())
-        p = model.log_probabilities(before.reshape(-1, WIDTH)[flat], ids.ravel()[flat])
+        before, at_words = before.reshape(-1, WIDTH)[flat], ids.ravel()[flat]
+        # In parts whose tables stay in a processor's cache.
+        p = np.concatenate([model.log_probabilities(before[k : k + 4096], at_words[k : k + 4096]) for k in range(0, len(flat), 4096)])
         out[lanes] += np.bincount(flat % len(lanes), weights=p.astype(np.float64), minlength=len(lanes))
         at += steps
         on = np.array([len(texts[i]) for i in lanes]) > at

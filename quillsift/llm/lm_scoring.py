@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ START_TEXTS = 1500
 ROUNDS = 2
 #: Texts that a task trains on side by side, its rate, and models that are averaged at once.
 TOGETHER, RATE, FAN_IN = 128, 0.01, 16
+#: Words that a task scores at once, and those of one text more: many long texts then run side by side to their ends.
+WORDS_AT_ONCE = 2_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -96,19 +99,18 @@ def frequent_words(counts: DataFrame) -> Vocabulary:
 
 MODEL_SCHEMA = "part int, words long, model binary"
 
-_PLACES: list = [None, {}]
+_PLACES: list = [None, None, {}]
 
 
-def _places(sent) -> dict[bytes, int]:
-    """Place of each frequent word, built once a worker."""
-    if _PLACES[0] is not sent.value:
-        _PLACES[:] = [sent.value, {w: i for i, w in enumerate(sent.value.words)}]
-    return _PLACES[1]
+def _places(sent, most: int = HEAD_WORDS) -> dict[bytes, int]:
+    """Place of each of the ``most`` most frequent words, built once a worker and stage."""
+    if _PLACES[0] is not sent.value or _PLACES[1] != most:
+        _PLACES[:] = [sent.value, most, {w: i for i, w in enumerate(sent.value.words[:most])}]
+    return _PLACES[2]
 
 
 def _own_ids(words: list[bytes], places: dict[bytes, int]) -> np.ndarray:
-    at = np.fromiter((places.get(w, OTHER) for w in words), np.int64, len(words))
-    return np.minimum(at, OTHER)
+    return np.fromiter(map(places.get, words, repeat(OTHER)), np.int64, len(words))
 
 
 def _part(rows: DataFrame, salt: str, parts: int) -> DataFrame:
@@ -128,7 +130,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, sent, rounds: int = ROUND
         return model
 
     def ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = _places(sent)
+        places = _places(sent, OWN_WORDS)
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "ids": [_own_ids(tokens(t), places).astype("<u2").tobytes() for t in frame["text"]]})
 
@@ -138,7 +140,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, sent, rounds: int = ROUND
         blob = training.sparkSession.sparkContext.broadcast(model.to_bytes())
 
         def local(frames: Iterator[pd.DataFrame], blob=blob) -> Iterator[pd.DataFrame]:
-            places, own = _places(sent), GatedLM.from_bytes(blob.value)
+            places, own = _places(sent, OWN_WORDS), GatedLM.from_bytes(blob.value)
             seen = Trainer(own, rate=RATE, texts=TOGETHER).train(_own_ids(tokens(t), places) for frame in frames for t in frame["text"])
             if seen:
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "words": [seen], "model": [own.to_bytes()]})
@@ -184,23 +186,25 @@ def lm_scores(documents: DataFrame) -> DataFrame:
         places, lm = _places(sent), GatedLM.from_bytes(model.value)
         row = TaskContext.get().partitionId() << 40
         for frame in frames:
-            for begin in range(0, len(frame), 1024):
-                texts, out = [], []
-                for i, text in zip(frame["doc_id"][begin : begin + 1024], frame["text"][begin : begin + 1024], strict=True):
-                    words = tokens(text)
-                    at = np.fromiter((places.get(w, -1) for w in words), np.int64, len(words))
-                    known = at[at >= 0]
-                    rare = [words[k] for k in np.flatnonzero(at < 0)]
-                    further = known[known >= OWN_WORDS]
-                    base = float(log_counts[known].sum()) - log_denominator * len(words)
-                    own = float(log_counts[further].sum()) - log_other * (len(further) + len(rare))
-                    texts.append(np.where((at < 0) | (at >= OWN_WORDS), OTHER, at))
-                    out.append((row, i, len(words), len(known), base, own, rare))
-                    row += 1
+            texts, out, held = [], [], 0
+            for k, (i, text) in enumerate(zip(frame["doc_id"], frame["text"], strict=True), 1):
+                words = tokens(text)
+                at = np.fromiter(map(places.get, words, repeat(-1)), np.int64, len(words))
+                known = at[at >= 0]
+                rare = [words[j] for j in np.flatnonzero(at < 0)]
+                further = known[known >= OWN_WORDS]
+                base = float(log_counts[known].sum()) - log_denominator * len(words)
+                own = float(log_counts[further].sum()) - log_other * (len(further) + len(rare))
+                texts.append(np.where((at < 0) | (at >= OWN_WORDS), OTHER, at).astype(np.uint16))
+                out.append((row, i, len(words), len(known), base, own, rare))
+                row, held = row + 1, held + len(words)
+                if held < WORDS_AT_ONCE and k < len(frame):
+                    continue
                 part = pd.DataFrame(out, columns=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
                 part["doc_id"] = pd.array([None if pd.isna(i) else int(i) for i in part["doc_id"]], "Int64")
                 part["score"] += log10_probabilities(lm, texts)
                 yield part
+                texts, out, held = [], [], 0
 
     head = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     scored = rows.mapInPandas(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<binary>")
