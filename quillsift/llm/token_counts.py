@@ -8,6 +8,7 @@ and the node where a pre-token ends has its count. Every task has a trie of its
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -44,9 +45,10 @@ def piece_scores(path: str) -> dict[str, float]:
 
 
 class ForwardTrie:
-    """Nodes are [score, pieces, children].
+    """Nodes are [score, pieces, children], the last None where there are none.
 
-    Counts of words in use outlive the trie: when it is full, those asked for since the last time stay.
+    The trie and the counts of whole words are bounded each by itself: a full trie is begun anew, and of the
+    counts those asked for since the last time stay.
     """
 
     def __init__(self, scores: dict[str, float]):
@@ -58,37 +60,42 @@ class ForwardTrie:
         self.ends = {k: tuple(sorted(v)) for k, v in ends.items()}
         self.counts: dict[bytes, int] = {}
         self.older: dict[bytes, int] = {}
-        self.clear()
+        self.held = 0
+        self.plant()
 
-    def clear(self) -> None:
-        self.root: list = [0.0, 0, {}]
-        self.nodes, self.held = 1, 0
-        self.older, self.counts = self.counts, {}
+    def plant(self) -> None:
+        self.root: list = [0.0, 0, None]
+        self.nodes = 1
 
     def _extend(self, word: str, begin: int, path: list, keep: bool) -> list:
         """Nodes of the prefixes of ``word`` from length ``begin`` + 1 on; ``path``: those up to ``begin``."""
-        scores, ends = self.scores, self.ends
+        scores, lengths_at, find = self.scores, self.ends.get, self.scores.get
         node = path[begin]
         for end in range(begin + 1, len(word) + 1):
             char = word[end - 1]
-            if char in scores:
-                score, count = node[0] + scores[char], node[1] + 1
-                size = 0
+            score, count, _ = node
+            alone = find(char)
+            if alone is not None:
+                score, count = score + alone, count + 1
             else:
                 size = len(char.encode("utf-8", "surrogatepass"))
-                score, count = node[0] + BYTE_SCORE * size, node[1] + size
-            for length in ends.get(word[end - 2 : end], ()) if end > 1 else ():
-                if length > end:
-                    break
-                piece = scores.get(word[end - length : end])
-                if piece is not None:
-                    before = path[end - length]
-                    s, c = before[0] + piece, before[1] + 1
-                    if s > score or (s == score and c < count):
-                        score, count = s, c
-            fresh = [score, count, {}]
+                score, count = score + BYTE_SCORE * size, count + size
+            if end > 1:
+                for length in lengths_at(word[end - 2 : end], ()):
+                    if length > end:
+                        break
+                    piece = find(word[end - length : end])
+                    if piece is not None:
+                        before = path[end - length]
+                        piece += before[0]
+                        if piece > score or (piece == score and before[1] + 1 < count):
+                            score, count = piece, before[1] + 1
+            fresh = [score, count, None]
             if keep:
-                node[2][char] = fresh
+                if node[2] is None:
+                    node[2] = {char: fresh}
+                else:
+                    node[2][char] = fresh
                 self.nodes += 1
             path.append(fresh)
             node = fresh
@@ -99,7 +106,7 @@ class ForwardTrie:
             return self._extend(word, 0, [self.root], False)[1]
         node, path = self.root, [self.root]
         for at, char in enumerate(word):
-            child = node[2].get(char)
+            child = node[2] and node[2].get(char)
             if child is None:
                 return self._extend(word, at, path, True)[1]
             path.append(child)
@@ -107,8 +114,10 @@ class ForwardTrie:
         return node[1]
 
     def text_count(self, words: list[bytes]) -> int:
-        if self.nodes > MOST_NODES or self.held > MOST_BYTES:
-            self.clear()
+        if self.nodes > MOST_NODES:
+            self.plant()
+        if self.held > MOST_BYTES:
+            self.older, self.counts, self.held = self.counts, {}, 0
         known, older = self.counts, self.older
         for w in sorted({w for w in words if w not in known}):
             n = older.get(w)
@@ -130,7 +139,13 @@ def token_counts(documents: DataFrame, pieces: str | None = None) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = worker_memory(("forward trie", path), lambda: ForwardTrie(piece_scores(path)))
         for frame in frames:
-            split = [text_bytes(t).split() for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "n_words": [len(w) for w in split], "n_tokens": [trie.text_count(w) for w in split]})
+            # A trie has no cycles, and looking for some would go through all its nodes again and again.
+            gc.disable()
+            try:
+                split = [text_bytes(t).split() for t in frame["text"]]
+                counts = [trie.text_count(w) for w in split]
+            finally:
+                gc.enable()
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "n_words": [len(w) for w in split], "n_tokens": counts})
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
