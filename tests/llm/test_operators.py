@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.llm import gated_lm, impact_search, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, suffix_sort, token_counts, toxicity
+from quillsift.llm import components, gated_lm, impact_search, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, suffix_sort, token_counts, toxicity
 from quillsift.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -228,6 +228,29 @@ def test_bit_sliced_comparison_in_chunks(spark, monkeypatch):
     assert all(labels.get(i, i) == want[i] for i in want)
 
 
+def test_components_write_few_files(spark, monkeypatch):
+    """As many files a round as its rows need, also where the engine does not join small partitions."""
+    written, plain = [], components.checkpointed
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(components, "checkpointed", counted)
+    monkeypatch.setattr(components, "FILE_ROWS", 30, raising=False)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chain = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(102, 101)], "u long, v long")
+        got = {r["node"]: r["label"] for r in components.connected_components(chain).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: 0 for i in range(41)} | {101: 101, 102: 101}
+    assert len(written) > 5 and max(written[1:]) <= 3
+
+
 def test_components(spark):
     rnd = random.Random(9)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 99) for i in range(1, 30)] + [(rnd.randint(200, 400), rnd.randint(200, 400)) for _ in range(150)] + [(7, 7), (None, 3), (500, 500)]
