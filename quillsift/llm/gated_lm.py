@@ -79,25 +79,31 @@ class GatedLM:
         w = WIDTH
         gates = np.ascontiguousarray(self.x[ids].transpose(0, 2, 1))
         u = np.ascontiguousarray(self.u.T)
-        h = np.ascontiguousarray(h.T)
-        before = np.empty((steps, w, texts), np.float32)
+        # The first two gates are 1 / (1 + exp(-a)): what goes into them is negated before the walk.
+        np.negative(gates[:, : 2 * w], out=gates[:, : 2 * w])
+        np.negative(u[: 2 * w], out=u[: 2 * w])
+        every = np.empty((steps + 1, w, texts), np.float32)
+        every[0] = h.T
         recurrent = np.empty((steps if keep is not None else 1, w, texts), np.float32)
+        hu, by = np.empty((3 * w, texts), np.float32), np.empty((w, texts), np.float32)
         for t in range(steps):
-            before[t] = h
-            hu, zr, n = u @ h, gates[t, : 2 * w], gates[t, 2 * w :]
+            h, after, zr, n = every[t], every[t + 1], gates[t, : 2 * w], gates[t, 2 * w :]
+            np.matmul(u, h, out=hu)
             zr += hu[: 2 * w]
-            np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1.0
             np.reciprocal(zr, out=zr)
             if keep is not None:
                 recurrent[t] = hu[2 * w :]
-            n += zr[w:] * hu[2 * w :]
+            n += np.multiply(zr[w:], hu[2 * w :], out=by)
             np.tanh(n, out=n)
-            h = n + zr[:w] * (h - n)
+            np.subtract(h, n, out=after)
+            after *= zr[:w]
+            after += n
+        before = every[:-1]
         if keep is not None:
             keep["memory"] = before, gates, recurrent
-        return np.ascontiguousarray(before.transpose(0, 2, 1)), np.ascontiguousarray(h.T)
+        return np.ascontiguousarray(before.transpose(0, 2, 1)), np.ascontiguousarray(every[-1].T)
 
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray, gradients: dict | None = None) -> np.ndarray:
         """Natural log of the probability of each word (of the class, for OTHER) after each state."""
@@ -121,6 +127,7 @@ class GatedLM:
             gradients["class_w"], gradients["class_b"] = rows.T @ logits.T, logits.sum(1)
             dh = logits.T @ self.class_w.T
             gw, gb = np.zeros_like(self.word_w), np.zeros_like(self.word_b)
+        tame = _tame(self.word_w, self.word_b)
         for classes in _of_like_size(np.diff(cuts)):
             # Classes x words x places; a class with fewer words repeats its last one, which counts for nothing.
             sizes = cuts[classes + 1] - cuts[classes]
@@ -131,7 +138,7 @@ class GatedLM:
             states = rows[at]
             inner = states @ w
             inner += b[:, None, :]
-            if not _tame(w, b):
+            if not (tame or _tame(w, b)):
                 inner -= inner.max(2, keepdims=True)
             flat = inner.reshape(-1, PER_CLASS)
             picked = np.arange(at.size) * PER_CLASS + places[at].ravel()
@@ -223,23 +230,24 @@ class Trainer:
         dh_out = dh_out.reshape(before.shape)
         before, gates, recurrent = keep["memory"]
         z, r, n = gates[:, :w], gates[:, w : 2 * w], gates[:, 2 * w :]
-        # What a step multiplies the gradient of its state by, for all steps at once.
-        to_n = (1 - z) * (1 - n * n)
-        to_z = (before - n) * z * (1 - z)
-        to_r = recurrent * r * (1 - r)
+        # What a step multiplies the gradient of its state by, for all steps at once: towards the gates' sums,
+        # of which the last one's input and recurrent part differ by r.
+        open_ = 1 - z
+        to_n = open_ * (1 - n * n)
+        dhu = np.empty((len(ids), 3, w, ids.shape[1]), np.float32)
+        np.multiply((before - n) * z, open_, out=dhu[:, 0])
+        np.multiply(to_n, r, out=dhu[:, 2])
+        np.multiply(dhu[:, 2] * (1 - r), recurrent, out=dhu[:, 1])
         dh_out = np.ascontiguousarray(dh_out.transpose(0, 2, 1))
-        dx, dhu = np.empty_like(gates), np.empty_like(gates)
-        dh = np.zeros_like(before[0])
+        dh, by = np.zeros_like(before[0]), np.empty_like(before[0])
         for t in range(len(ids) - 1, -1, -1):
-            d, dn = dhu[t], dx[t, 2 * w :]
-            np.multiply(dh, to_n[t], out=dn)
-            np.multiply(dh, to_z[t], out=d[:w])
-            np.multiply(dn, to_r[t], out=d[w : 2 * w])
-            np.multiply(dn, r[t], out=d[2 * w :])
+            dhu[t] *= dh
+            to_n[t] *= dh
             dh *= z[t]
-            dh += model.u @ d
+            dh += np.matmul(model.u, dhu[t].reshape(3 * w, -1), out=by)
             dh += dh_out[t]
-        dx[:, : 2 * w] = dhu[:, : 2 * w]
+        dhu = dhu.reshape(gates.shape)
+        dx = np.concatenate([dhu[:, : 2 * w], to_n], 1)
         du = (before @ dhu.transpose(0, 2, 1)).sum(0)
         dx = dx.transpose(0, 2, 1).reshape(-1, 3 * w)
         flat = ids.ravel()

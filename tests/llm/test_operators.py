@@ -383,6 +383,17 @@ def test_gradients_match_differences():
         assert abs((up - down) / (2 * step) - gradient[at]) < 2e-3 + 0.05 * abs(gradient[at])
 
 
+def test_lm_bounds_the_softmax_of_a_model_at_once(monkeypatch):
+    """One look at all classes says that exp is safe, not one for every group of classes and every window."""
+    looks, plain = [], gated_lm._tame
+    monkeypatch.setattr(gated_lm, "_tame", lambda w, b: looks.append(w.shape) or plain(w, b))
+    model = gated_lm.GatedLM.unigram(1e6 / np.arange(1, gated_lm.OWN_WORDS + 1), 4e6)
+    ids = np.repeat(np.arange(0, gated_lm.OWN_WORDS, 64), np.arange(gated_lm.CLASSES) + 1)
+    h = np.random.default_rng(4).uniform(-1, 1, (len(ids), gated_lm.WIDTH)).astype(np.float32)
+    assert np.isfinite(model.log_probabilities(h, ids)).all()
+    assert len(looks) == 2
+
+
 @pytest.mark.parametrize("head", [150_000, 40])
 def test_lm_scores(docs, rows, empty, monkeypatch, head):
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", head)
