@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import zlib
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -12,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsift.functions.batches import give_back
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,18 +60,6 @@ def worker_memory[M](key: object, make: Callable[[], M]) -> M:
     return _HELD[key]
 
 
-def give_back() -> None:
-    """Hands freed memory back to the system: a reused worker otherwise keeps the peak of all its partitions."""
-    import pyarrow
-
-    gc.collect()
-    pyarrow.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def tidy[F: Callable](run: F) -> F:
     """``run``, a function of one to three arguments over frames, giving memory back when it is done."""
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillsift.functions.batches import textwise
 from quillsift.functions.names import deletions, near, normalise, ocr_fold, reach, squeeze
 from quillsift.operators.redaction import EMAIL, MID_CAPITAL, WORD, is_author_word, zone
 from quillsift.operators.roster import DIGIT_LOOKALIKES, FLAGS, HEAD, Roster
@@ -127,18 +128,15 @@ def normalised(texts: pd.Series) -> pd.Series:
     return texts.map(normalise, na_action="ignore")
 
 
-def token_runs(longest: int):
-    """UDF: the distinct runs of 1 to ``longest`` normalised tokens of a text, joined by a space."""
+def token_runs(starts: dict[str, int]):
+    """UDF: the distinct runs of a text's normalised tokens, joined by a space, that begin with a key of ``starts`` and have up to its value of tokens."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        def of(text: str | None) -> list[str]:
-            tokens = [] if text is None else normalise(text).split()
-            return list(dict.fromkeys(" ".join(tokens[i : i + n]) for n in range(1, longest + 1) for i in range(len(tokens) - n + 1)))
-
-        return texts.map(of)
+    def of(text: str) -> list[str]:
+        tokens = normalise(text).split()
+        found = ((i, n) for i, token in enumerate(tokens) for n in range(1, starts.get(token, 0) + 1))
+        return list(dict.fromkeys(" ".join(tokens[i : i + n]) for i, n in found if i + n <= len(tokens)))
 
-    return run
+    return textwise(T.ArrayType(T.StringType()), of)
 
 
 def term_frame(spark: SparkSession, roster: Roster, capital: bool = False) -> DataFrame:
@@ -149,9 +147,14 @@ def term_frame(spark: SparkSession, roster: Roster, capital: bool = False) -> Da
 
 
 def term_leaks(documents: DataFrame, terms: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
-    """(key, student_id, kind), distinct: token runs of a text that are terms (an equi-join on exploded runs)."""
-    longest = terms.select(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    exploded = documents.select(key, text.alias("t")).select(key, F.explode(token_runs(longest)("t")).alias("run"))
+    """(key, student_id, kind), distinct: token runs of a text that are terms (an equi-join on exploded runs).
+
+    The terms are a roster's, whose size is bounded: their first tokens go with the task, so that a
+    text sends the runs that begin like a term, and not a multiple of itself.
+    """
+    tokens = F.split("term", " ")
+    starts = {r["head"]: r["longest"] for r in terms.groupBy(tokens[0].alias("head")).agg(F.max(F.size(tokens)).alias("longest")).collect()}
+    exploded = documents.select(key, text.alias("t")).select(key, F.explode(token_runs(starts)("t")).alias("run"))
     return exploded.join(F.broadcast(terms), F.col("run") == F.col("term")).select(key, "student_id", "kind").distinct()
 
 

@@ -172,3 +172,30 @@ def test_joins_find_what_the_detector_finds(spark):
     found = L.substring_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ids, L.id_hay("text"), "studentId")
     want = {(k, o, kind) for k, t in enumerate(texts) if t for o, kind in find_leaks(t, roster) if kind == "studentId"}
     assert {tuple(r) for r in found.collect()} == want and {k for k, *_ in want} == {0, 1, 2, 3, 4}
+
+
+def test_term_runs_do_not_multiply_texts(spark):
+    from quillsift.operators import leaks as L
+
+    texts = ["word " * 5000 + "Rose Lim rose.lim@northvale.edu", "rose", "Lim, Rose. Keller", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = dict(df.select("doc_id", L.token_runs({"rose": 2, "lim": 3})("text").alias("runs")).collect())
+    assert runs[0] == ["rose", "rose lim", "lim", "lim rose", "lim rose lim", "lim northvale", "lim northvale edu"]
+    assert runs[1] == ["rose"] and runs[2] == ["lim", "lim rose", "lim rose keller", "rose", "rose keller"] and runs[3] == [] and runs[4] is None
+    found = {tuple(r) for r in L.term_leaks(df, L.term_frame(spark, R), df["text"]).collect()}
+    assert found == {(0, "700200306", "name"), (0, "700200306", "email"), (2, "700200306", "name")}
+
+
+def test_texts_are_worked_off_in_pieces(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from quillsift.functions import batches as B
+
+    texts = ["a" * 700_000, "b" * 700_000, None, "c" * 3_000_000, "", *["d"] * 1200]
+    cut = [p[0].to_pylist() for p in B.pieces((pa.array(texts), pa.array([None] * len(texts), pa.string())))]
+    assert [t for p in cut for t in p] == texts and list(B.pieces((pa.array([], pa.string()),))) == []
+    assert max(map(len, cut)) <= B.PIECE_ROWS and all(len(p) == 1 or sum(len(t or "") for t in p) <= B.PIECE_BYTES for p in cut)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    sizes = B.rowwise(T.LongType(), lambda: lambda t, u: None if t is None else len(t) + len(u))
+    assert [r[0] for r in df.orderBy("id").select(sizes("text", "text")).collect()] == [None if t is None else 2 * len(t) for t in texts]
