@@ -66,8 +66,14 @@ def reach(name: str) -> int:
     return 1 if len(name) < 5 else 2
 
 
-def near(word: str, name: str) -> bool:
-    return within(word, name, reach(name))
+def utf8(text: str) -> str:
+    """A letter for each byte of the text's UTF-8."""
+    return text if text.isascii() else text.encode("utf-8", "surrogatepass").decode("latin-1")
+
+
+def near(word: str, name: str, in_bytes: bool = False) -> bool:
+    """``in_bytes``: edits are counted in bytes of UTF-8, as DuckDB's distances do, instead of letters."""
+    return within(utf8(word), utf8(name), reach(name)) if in_bytes else within(word, name, reach(name))
 
 
 def alike(word: str, name: str, beside_exact: bool = False) -> bool:

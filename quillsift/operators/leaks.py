@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.functions.batches import textwise
-from quillsift.functions.names import deletions, near, normalise, ocr_fold, reach, squeeze
+from quillsift.functions.batches import rowwise, textwise
+from quillsift.functions.names import deletions, near, normalise, ocr_fold, reach, squeeze, utf8
 from quillsift.operators.redaction import EMAIL, MID_CAPITAL, WORD, is_author_word, zone
 from quillsift.operators.roster import DIGIT_LOOKALIKES, FLAGS, HEAD, Roster
 
@@ -223,43 +223,39 @@ def id_hay(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: " ".join(id_readings(t)), na_action="ignore")
 
 
-def deletion_variants(depth: int, longest: int):
-    """UDF: what is left of a word of ``longest`` letters at most after up to ``depth`` deletions."""
+def deletion_variants(depth: int, longest: int, in_bytes: bool = False):
+    """UDF: what is left of a word of ``longest`` letters (or bytes) at most after up to ``depth`` deletions."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: sorted(deletions(w, depth)) if w is not None and len(w) <= longest else [])
+    def of(word: str | None) -> list[str]:
+        word = utf8(word) if in_bytes and word else word
+        return sorted(deletions(word, depth)) if word is not None and len(word) <= longest else []
 
-    return run
+    return rowwise(T.ArrayType(T.StringType()), lambda: of)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def name_variants(names: pd.Series) -> pd.Series:
-    return names.map(lambda n: sorted(deletions(n, reach(n))))
+def name_variants(in_bytes: bool = False):
+    return textwise(T.ArrayType(T.StringType()), lambda n: sorted(deletions(utf8(n) if in_bytes else n, reach(n))))
 
 
-@F.pandas_udf(T.StringType())
-def ocr_folded(words: pd.Series) -> pd.Series:
-    return words.map(ocr_fold, na_action="ignore")
+def is_near(in_bytes: bool = False):
+    return rowwise(T.BooleanType(), lambda: lambda word, name: near(word, name, in_bytes))
 
 
-@F.pandas_udf(T.BooleanType())
-def is_near(words: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([near(w, n) for w, n in zip(words, names, strict=True)], dtype=bool)
+ocr_folded = textwise(T.StringType(), ocr_fold)
 
 
-def near_name_matches(words: DataFrame, names: DataFrame) -> DataFrame:
+def near_name_matches(words: DataFrame, names: DataFrame, in_bytes: bool = False) -> DataFrame:
     """(word, name) where the folded word is within the name's tier of edits: an equi-join on deletion variants, then a check.
 
     ``words``: (word), distinct, as written; ``names``: (name), folded. Longer words than the longest name
-    and its two edits can't be near.
+    and its two edits can't be near. ``in_bytes``: edits are counted in bytes of UTF-8.
     """
-    longest = names.select(F.max(F.length("name"))).first()[0] or 0
+    longest = names.select(F.max(F.octet_length("name") if in_bytes else F.length("name"))).first()[0] or 0
     folded = words.select("word", ocr_folded("word").alias("folded")).where(F.length("folded") >= 2)
-    left = folded.select("word", "folded", F.explode(deletion_variants(2, longest + 2)("folded")).alias("variant"))
-    right = names.select("name", F.explode(name_variants("name")).alias("variant_of"))
+    left = folded.select("word", "folded", F.explode(deletion_variants(2, longest + 2, in_bytes)("folded")).alias("variant"))
+    right = names.select("name", F.explode(name_variants(in_bytes)("name")).alias("variant_of"))
     met = left.join(right, F.col("variant") == F.col("variant_of")).select("word", "folded", "name").distinct()
-    return met.where(is_near("folded", "name")).select("word", "name")
+    return met.where(is_near(in_bytes)("folded", "name")).select("word", "name")
 
 
 def fuzzy_name_matches(words: DataFrame, names: DataFrame) -> DataFrame:
