@@ -242,3 +242,32 @@ def test_redaction_counts_letters():
     text = f"ßeinä\n\n{BODY}"
     assert redact(text, R).startswith(MARK) and R.near_names("ßeinä") == ("leila",) and sample_roster(in_bytes=True).near_names("ßeinä") == ()
     assert ("700200308", "name") in find_leaks(text, R)
+
+
+def longest_array(udf, *columns):
+    """Rows of the largest Arrow array that a UDF makes of one batch of these columns."""
+    import pyarrow as pa
+
+    arrays = tuple(pa.array(c, pa.string()) for c in columns)
+    made = [len(x) for x in udf.func(iter([arrays if len(arrays) > 1 else arrays[0]]))]
+    assert sum(made) == len(columns[0])
+    return max(made)
+
+
+def test_udfs_make_results_in_pieces(spark, monkeypatch):
+    from quillsift.functions import batches as B
+    from quillsift.operators import leaks as L
+    from quillsift.operators import redaction
+
+    made = []
+    rowwise = B.rowwise
+    for module in (redaction, L):
+        monkeypatch.setattr(module, "rowwise", lambda *a: made.append(rowwise(*a)) or made[-1])
+    df = spark.createDataFrame([(1, "Tomas Keller", None)], "id int, text string, who string")
+    redaction.redacted(df, R, author="who"), redaction.after_step(df, R, "folded_names"), L.leaks(df, R), L.glued_leaks(df, R, key="id"), L.zone_names(df, R, key="id")
+    texts = [BODY] * 1200
+    assert len(made) == 5
+    for udf in made:
+        assert longest_array(udf, texts, [None] * len(texts)) <= B.PIECE_ROWS
+    for udf in (L.id_hay, L.normalised, L.ocr_folded, L.deletion_variants(2, 9), L.token_runs({"the": 2})):
+        assert longest_array(udf, texts) <= B.PIECE_ROWS
